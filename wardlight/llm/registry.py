@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pieces, simhash
+from . import langid, pieces, quality, simhash
 from .common import table
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = F.crc32(F.coalesce(F.col("i").cast("string"), F.lit("")).cast("binary")) % 3 != 1
+    model = quality.train(docs, table(spark, sf_dir, "labels"), among=seen)
+    found = quality.score(docs, model)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,7 +44,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op9_langid": op9_langid}
+    return {"op4_quality": op4_quality, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op9_langid": op9_langid}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pieces, quality, simhash
+from . import langid, pieces, quality, repeats, simhash
 from .common import table
 
 
@@ -43,8 +43,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality": op4_quality, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op9_langid": op9_langid}
+    return {"op4_quality": op4_quality, "op6_pieces": op6_pieces, "op7_simhash": op7_simhash, "op9_langid": op9_langid, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:

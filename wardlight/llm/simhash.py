@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 def links(distinct_bits: DataFrame, within: int = LINK_BITS) -> DataFrame:
     """(a, b), a < b: the pairs of distinct fingerprints (column bits) that differ in ``within`` bits or fewer.
 
-    A pair may come more than once.  ``within`` can be at most 5: two balls of radius 1 cover no more.
+    A pair comes once.  ``within`` can be at most 5: two balls of radius 1 cover no more.
     """
     if within > 2 * (2 * RADIUS + 1) - 1:
         raise ValueError("balls of radius 1 in two halves find up to 5 differing bits")
@@ -77,7 +77,14 @@ def links(distinct_bits: DataFrame, within: int = LINK_BITS) -> DataFrame:
         ).alias("part"),
     ).select("bits", "part.half", "part.key", F.explode(ball).alias("flip")).select("bits", "half", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
     a, b = entries.select("half", "key", F.col("bits").alias("a")), entries.select("half", "key", F.col("bits").alias("b"))
-    near = (a["half"] == b["half"]) & (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= within)
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    low, high = differ.bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftrightunsigned(differ, HALF)
+    # two balls share several keys: of these the pair is fetched under one, in the first half that can show it
+    in_low = F.bit_count(low) <= 2 * RADIUS
+    part, own = F.when(in_low, low).otherwise(high), F.when(in_low, F.col("a").bitwiseAND(F.lit((1 << HALF) - 1))).otherwise(F.shiftrightunsigned("a", HALF))
+    one_key = own.bitwiseXOR(F.when(F.bit_count(part) == 2, part.bitwiseAND(-part)).otherwise(F.lit(0).cast("long")))
+    once = (a["half"] == F.when(in_low, 0).otherwise(1)) & (a["key"] == one_key)
+    near = (a["half"] == b["half"]) & (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= within) & once
     return a.join(b, near).select("a", "b")
 
 

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, slices
 
@@ -384,17 +385,21 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone.append(len(raw) - len(kept[-1]))
             spans.append([{"start": a, "end": z} for a, z in own])
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        made = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays([ids, *made, *b.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *b.schema.names[3:]])
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, others: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept), a row for each row of ``df``; kept is binary, as bytes are removed.
 
-    ``span`` from 96 to 128.
+    ``span`` from 96 to 128.  With ``others`` a struct of that name holds the other columns of ``df``.
     """
     if not 96 <= span <= 128:
         raise ValueError("span must be from 96 to 128 bytes")
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumns({"row": F.xxhash64("doc_id", "text")})
+    docs_of = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]
+    rest = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (doc_id, text)]).alias("others")] if others else []
+    whole = df.select(*docs_of, F.xxhash64(docs_of[0], docs_of[1]).alias("row"), *rest)
+    docs = whole.select("doc_id", "text", "row")
     shuffled = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = F.coalesce("doc_id", F.lit(LAST)).alias("doc")
     scanned = docs.select(place, "row", "text").mapInArrow(_scan(span), _RUN)
@@ -414,4 +419,6 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         .unionByName(ones.select("row", "start", F.lit(span).cast("long").alias("bytes")))
         .distinct().groupBy("row").agg(F.collect_list(F.struct("start", "bytes")).alias("marks"))
     )
-    return docs.join(marks, "row", "left").select("doc_id", "text", "marks").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    judged = whole.join(marks, "row", "left").select("doc_id", "text", "marks", *(["others"] if others else []))
+    new = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    return judged.mapInArrow(_apply, T.StructType([*new.fields, *judged.schema.fields[3:]]))

@@ -56,7 +56,7 @@ def mode_first(values: Column) -> Column:
 
 def distinct_texts(values: Column) -> Column:
     """Trimmed, without empty ones, the first of those equal but for case."""
-    own = F.filter(F.transform(values, F.trim), lambda v: v != "")
+    own = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
     low = F.transform(own, lambda v: F.lower(v))
     return F.filter(own, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
 

@@ -24,7 +24,7 @@ def probe_status(status: Column, body: Column, error: Column) -> Column:
 
 def targets(raw: Column, page_url: Column) -> Column:
     """Struct (placeholders, urls) of the targets of a page's anchors."""
-    own = F.filter(F.transform(raw, F.trim), lambda h: h != "")
+    own = F.filter(F.transform(raw, lambda h: F.trim(h)), lambda h: h != "")
     placeholder = lambda h: (h == "#") | F.lower(h).contains("javascript:void")
     skipped = lambda h: F.lower(h).rlike("^(?:" + "|".join(SKIPPED) + ")")
     urls = F.transform(F.filter(own, lambda h: ~placeholder(h) & ~skipped(h)), lambda h: U.resolve(h, page_url))

@@ -33,10 +33,6 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?i){NOT_AFTER_WORD}{body}{'' if phrase.endswith('+') else NOT_BEFORE_WORD}"
 
 
-def any_of(patterns: list[str]) -> str:
-    return "(?i)" + "|".join(p.removeprefix("(?i)") for p in patterns)
-
-
 def contains_brand(text: Column, brand: Column | str) -> Column:
     """The brand as a token: not next to a letter, digit, underscore or dot."""
     if isinstance(brand, str):

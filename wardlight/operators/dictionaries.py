@@ -1,15 +1,18 @@
 """Tiered dictionaries: phrases of a later tier are sought in what the earlier ones leave.
 
-A row without any phrase of the dictionary is decided by one pattern; only other rows are searched phrase by phrase.
+A text is split into its distinct words once; a phrase is only sought in texts that have its first word, so most texts
+are decided by one overlap of two sets.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import any_of, phrase_pattern
+from ..functions.text import phrase_pattern
 
 NONE = "array<string>"
 
@@ -18,12 +21,21 @@ def distinct_phrases(phrases: list[str]) -> list[str]:
     return list({p.lower(): p for p in reversed(phrases)}.values())[::-1]
 
 
-def hits(text: Column, phrases: list[str]) -> Column:
-    """The phrases found in the text, in the list's order."""
+def tokens(text: Column) -> Column:
+    """The distinct words of a text, as far as phrases can begin with them."""
+    return F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))
+
+
+def first_word(phrase: str) -> str:
+    return re.split("[^a-z0-9_]+", phrase.lower())[0]
+
+
+def hits(text: Column, phrases: list[str], words: Column) -> Column:
+    """The phrases found in the text, in the list's order.  ``words``: the text's tokens, or those of one it was cut from."""
     own = distinct_phrases(phrases)
-    patterns = [phrase_pattern(p) for p in own]
-    found = F.array_compact(F.array(*[F.when(text.rlike(x), F.lit(p)) for p, x in zip(own, patterns, strict=True)]))
-    return F.when(text.rlike(any_of(patterns)), found).otherwise(F.array().cast(NONE))
+    found = F.array_compact(F.array(*[F.when(F.array_contains(words, first_word(p)) & text.rlike(phrase_pattern(p)), F.lit(p)) for p in own]))
+    begins = F.array(*[F.lit(w) for w in dict.fromkeys(map(first_word, own))])
+    return F.when(F.arrays_overlap(words, begins), found).otherwise(F.array().cast(NONE))
 
 
 def masked(text: Column, found: Column, phrases: list[str]) -> Column:
@@ -40,13 +52,14 @@ def blank_vetoes(text: Column, vetoes: list[str]) -> Column:
 
 def tiers(df: DataFrame, text: str, definitive: list[str], strong: list[str], weak: list[str], vetoes: list[str], prefix: str) -> DataFrame:
     """``df`` with <prefix>_definitive, _strong and _weak (arrays of phrases).  Null and blank texts have none."""
-    plain = f"__{prefix}_text"
+    plain, words = f"__{prefix}_text", f"__{prefix}_words"
     df = df.withColumn(plain, blank_vetoes(F.coalesce(F.col(text), F.lit("")), vetoes))
-    df = df.withColumn(f"{prefix}_definitive", hits(F.col(plain), definitive))
-    df = df.withColumn(plain, masked(F.col(plain), F.col(f"{prefix}_definitive"), definitive))
-    df = df.withColumn(f"{prefix}_strong", hits(F.col(plain), strong))
-    df = df.withColumn(plain, masked(F.col(plain), F.col(f"{prefix}_strong"), strong))
-    return df.withColumn(f"{prefix}_weak", hits(F.col(plain), weak)).drop(plain)
+    df = df.withColumn(words, tokens(F.col(plain)))  # blanking phrases makes no new words
+    for tier, phrases in (("definitive", definitive), ("strong", strong)):
+        name = f"{prefix}_{tier}"
+        df = df.withColumn(name, hits(F.col(plain), phrases, F.col(words)))
+        df = df.withColumn(plain, masked(F.col(plain), F.col(name), phrases))
+    return df.withColumn(f"{prefix}_weak", hits(F.col(plain), weak, F.col(words))).drop(plain, words)
 
 
 def gambling(df: DataFrame, text: str, prefix: str = "gambling") -> DataFrame:
@@ -58,7 +71,8 @@ def adult(df: DataFrame, text: str, prefix: str = "adult") -> DataFrame:
 
 
 def age_gate(text: Column) -> Column:
-    return hits(F.coalesce(text, F.lit("")), fixed.ADULT_AGE_GATE)
+    text = F.coalesce(text, F.lit(""))
+    return hits(text, fixed.ADULT_AGE_GATE, tokens(text))
 
 
 def parking_clue(text: Column) -> Column:

@@ -198,8 +198,11 @@ class Codec:
         raw = self.text[np.repeat(self.text_at[flat] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
         cuts = ends[offsets].tolist()
         out = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = raw[a + (raw[a:b][:1] == b" ") : b]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            own = flat[offsets[k] : offsets[k + 1]]
+            own = own[: np.argmax(n[offsets[k] : offsets[k + 1]] > 0) + 1][-1:]  # the first with a text
+            led = raw[a : a + 1] == b" " and b > a and own[0] != self.v.unknown  # by the space that encoding puts first
+            part = raw[a + led : b]
             try:
                 part.decode()
             except UnicodeDecodeError:

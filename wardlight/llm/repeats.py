@@ -108,14 +108,15 @@ def suffix_array(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    # padding can't tell an end from zero bytes: of equal keys the shorter suffix comes first, in a group of its own
+    order = n - 1 - np.argsort(key[::-1], kind="stable")
+    left = np.minimum(n - order, 8)
+    new = np.append(True, (key[order[1:]] != key[order[:-1]]) | (left[1:] != left[:-1]))
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
     rank[order] = head
     rank[n] = -1
     depth = 8
-    # padding with zero bytes can't tell an end from a zero byte; one round on ranks settles that
     open_ = np.flatnonzero(np.append(head[1:] == head[:-1], False) | np.append(False, head[1:] == head[:-1])) if n else np.zeros(0, np.int64)
     while len(open_) and depth < 2 * n + 16:
         at = order[open_]

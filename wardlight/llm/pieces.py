@@ -199,9 +199,10 @@ class Codec:
         cuts = ends[offsets].tolist()
         out = []
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            own = flat[offsets[k] : offsets[k + 1]]
-            own = own[: np.argmax(n[offsets[k] : offsets[k + 1]] > 0) + 1][-1:]  # the first with a text
-            led = raw[a : a + 1] == b" " and b > a and own[0] != self.v.unknown  # by the space that encoding puts first
+            led = b > a and raw[a] == 32
+            if led:  # a blank that encoding put first; not one of the unknown piece
+                i = offsets[k] + int(np.argmax(n[offsets[k] : offsets[k + 1]] > 0))
+                led = flat[i] != self.v.unknown
             part = raw[a + led : b]
             try:
                 part.decode()

@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .html import DOC
+from .semantic import ZONE_ORDER
 
 # Languages that the translator takes.
 SUPPORTED = "zh zh-Hant en ja ko de fr es it pt ru th vi ar cs da fi hr hu id ms nb nl pl ro sv".split()
@@ -82,8 +86,6 @@ def batches(texts: Column) -> Column:
 
 def flatten_texts(doc: Column) -> Column:
     """(kind, key, pos, text) of all of a parsed page's texts, in a fixed order."""
-    from .semantic import ZONE_ORDER
-
     item = lambda kind, key, pos, text: F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), pos.cast("int").alias("pos"), text.alias("text"))
     one = lambda kind, text: F.array(F.when(F.trim(F.coalesce(text, F.lit(""))) != "", item(kind, "", F.lit(None), text)))
     many = lambda kind, key, texts: F.transform(F.coalesce(texts, F.array().cast(TEXTS)), lambda t, i: item(kind, key, i, t))
@@ -96,17 +98,12 @@ def rebuild(doc: Column, flat: Column) -> Column:
     """A parsed page with its texts replaced by those of ``flat`` (as flatten_texts gives them)."""
     of = lambda kind, key="": F.transform(F.array_sort(F.filter(flat, lambda x: (x["kind"] == kind) & (x["key"] == key)), lambda a, b: F.coalesce(a["pos"], F.lit(0)) - F.coalesce(b["pos"], F.lit(0))), lambda x: x["text"])
     one = lambda kind, old, key="": F.coalesce(F.get(of(kind, key), F.lit(0)), old)
-    out = doc
-    for kind in ("body_text", "analysis_text", "rendered_text"):
-        out = out.withField(kind, one(kind, doc[kind]))
-    out = out.withField("visible_text", of("visible_text"))
-    out = out.withField("text_zones.title_text", one("zone", doc["text_zones"]["title_text"], "title_text"))
-    from .semantic import ZONE_ORDER
-
-    for z in ZONE_ORDER:
-        if z != "title_text":
-            out = out.withField(f"text_zones.{z}", of("zone", z))
-    return out
+    zones = {z: one("zone", doc["text_zones"][z], z) if z == "title_text" else of("zone", z) for z in ZONE_ORDER}
+    new = {kind: one(kind, doc[kind]) for kind in ("body_text", "analysis_text", "rendered_text")}
+    new["visible_text"] = of("visible_text")
+    order = [f.name for f in T._parse_datatype_string(DOC)["text_zones"].dataType]
+    new["text_zones"] = F.struct(*[zones[z].alias(z) for z in order])
+    return F.struct(*[new.get(f.name, doc[f.name]).alias(f.name) for f in T._parse_datatype_string(DOC)])
 
 
 def translate(pages: DataFrame, table: DataFrame, page: str = "page", doc: str = "doc", lang: str = "source_lang") -> DataFrame:

@@ -190,8 +190,9 @@ def _owners(doc: np.ndarray, start: np.ndarray, key: list[np.ndarray]) -> np.nda
     return out
 
 
-_RUN = "kind byte, gram long, whole long, doc long, row long, start long, windows int, lead int"
-_MARK = "row long, start long, bytes long"
+#: place: start, number of windows (8 bits) and kind (1 bit), so that a run is five numbers and sorts by its start.
+_RUN = "gram long, whole long, doc long, row long, place long"
+_MET = "gram long, row long, place long"
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -199,7 +200,7 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _scan(span: int):
-    """Texts to runs: kind 0 is a mark, kind 1 the first of its slice."""
+    """Texts to runs: of kind 1 if the first of its slice, else of kind 0, a mark already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
@@ -223,26 +224,26 @@ def _scan(span: int):
                 start = start + shift[owner]
                 d, r = doc[of[owner]], row[of[owner]]
                 first = _owners(d, start, [whole, gram])
-                yield _batch(_RUN, first.astype(np.int8), gram.view(np.int64), whole.view(np.int64), d, r, start, windows.astype(np.int32), lead.astype(np.int32))
+                yield _batch(_RUN, gram.view(np.int64), whole.view(np.int64), d, r, start << 9 | windows << 1 | first)
                 i = j
 
     return run
 
 
 def _stream(span: int):
-    """Runs sorted by (gram, whole, doc, start) to marks (kind 0) and runs that are left over (kind 1)."""
+    """Runs sorted by (gram, whole, doc, place) to marks (kind 0) and runs that are left over (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: tuple | None = None  # of the last run: gram, whole, its group's first doc and start
         waiting: list[np.ndarray] | None = None  # the first run of the last gram, while that has one group
         prior = 0  # groups of the last gram
         for b in batches:
-            c = [b.column(k).to_numpy() for k in range(8)]
-            ready = c[0] == 0
+            c = [b.column(k).to_numpy() for k in range(5)]
+            ready = (c[4] & 1) == 0
             if ready.any():
-                yield _batch(_RUN, *[x[ready] for x in c])
-            c = [x[~ready] for x in c]
-            _, gram, whole, doc, _, start, _, _ = c
+                yield _batch(_MET, c[0][ready], c[3][ready], c[4][ready])
+            gram, whole, doc, row, place = [x[~ready] for x in c]
+            start = place >> 9
             n = len(gram)
             if not n:
                 continue
@@ -258,19 +259,19 @@ def _stream(span: int):
             groups = np.bincount(g, new).astype(int)
             groups[0] += prior if goes_on else 0
             if goes_on and waiting is not None and groups[0] > 1:
-                yield _batch(_RUN, *waiting)
+                yield _batch(_MET, *waiting)
             if not goes_on or groups[0] > 1:
                 waiting = None
             left = new & (groups[g] > 1)
             out = mark | left
             if out.any():
-                yield _batch(_RUN, left[out].astype(np.int8), *[x[out] for x in c[1:]])
+                yield _batch(_MET, gram[out], row[out], np.where(left, place, place & ~1)[out])
             prior = int(groups[-1])
             own = np.flatnonzero(new & (g == g[-1]))
             if prior > 1:
                 waiting = None
             elif len(own):
-                waiting = [x[own[:1]] for x in [np.ones(n, np.int8), *c[1:]]]
+                waiting = [x[own[:1]] for x in (gram, row, place)]
             tail = (gram[-1], whole[-1], first_doc[-1], first_start[-1])
 
     return run
@@ -402,14 +403,15 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     whole = df.select(*docs_of, F.xxhash64(docs_of[0], docs_of[1]).alias("row"), *rest)
     docs = whole.select("doc_id", "text", "row")
     shuffled = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    place = F.coalesce("doc_id", F.lit(LAST)).alias("doc")
-    scanned = docs.select(place, "row", "text").mapInArrow(_scan(span), _RUN)
-    met = scanned.repartition(shuffled, "gram").sortWithinPartitions("gram", "whole", "doc", "start").mapInArrow(_stream(span), _RUN)
-    met = cut(met.select("kind", "gram", "row", "start", "windows"))
+    doc = F.coalesce("doc_id", F.lit(LAST)).alias("doc")
+    scanned = docs.select(doc, "row", "text").mapInArrow(_scan(span), _RUN)
+    met = scanned.repartition(shuffled, "gram").sortWithinPartitions("gram", "whole", "doc", "place").mapInArrow(_stream(span), _MET)
+    place = F.col("place")
+    met = cut(met.select((place % 2).alias("kind"), "gram", "row", F.shiftright(place, 9).alias("start"), (F.shiftright(place, 1) % 256).cast("int").alias("windows")))
     left = met.where("kind = 1")
     salts = left.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / SHARD_RUNS).cast("int").alias("salts"))
     todo = left.join(salts, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "salts", "start", "windows")).alias("todo"))
-    fetched = docs.select(place, "row", "text").join(todo, "row").select("doc", "row", "text", "todo").mapInArrow(_bytes_of(span), "gram long, salts int, doc long, row long, start long, raw binary")
+    fetched = docs.select(doc, "row", "text").join(todo, "row").select("doc", "row", "text", "todo").mapInArrow(_bytes_of(span), "gram long, salts int, doc long, row long, start long, raw binary")
     salt = F.pmod(F.xxhash64("row", "start"), F.col("salts")).cast("int")
     dealt = fetched.select("gram", salt.alias("salt"), (F.col("salts") > 1).alias("salted"), "doc", "row", "start", "raw").repartition(shuffled, "gram", "salt").sortWithinPartitions("gram", "salt")
     settled = cut(dealt.mapInArrow(_shards(span), _WINDOW))

@@ -51,8 +51,17 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is read: also inside of lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_wins(items: Column, key=None) -> Column:
     """Distinct items, the first of equal keys (lower-cased by default), in order."""
     key = key or (lambda x: F.lower(x))
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+    def distinct(pairs: Column) -> Column:
+        keys = pairs["keys"]
+        return F.filter(pairs["items"], lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+    return bind(items, lambda own: bind(F.struct(own.alias("items"), F.transform(own, lambda x: key(x)).alias("keys")), distinct))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-from ..functions.text import slug
+from ..functions.text import bind, first_wins, slug
 
 TEXTS = "array<string>"
 
@@ -49,16 +49,17 @@ def resolve(jobs: DataFrame, brands: DataFrame, job_id: str = "job_id", brand_id
 
 def mode_first(values: Column) -> Column:
     """The most frequent value of an array; of equally frequent ones the first."""
-    own = F.array_distinct(values)
-    counts = F.transform(own, lambda v, i: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-i).alias("back"), v.alias("v")))
-    return F.array_max(counts)["v"]
+
+    def counted(all_: Column) -> Column:
+        return F.array_max(F.transform(F.array_distinct(all_), lambda v, i: F.struct(F.size(F.filter(all_, lambda x: x == v)).alias("n"), (-i).alias("back"), v.alias("v"))))
+
+    return bind(values, counted)["v"]
 
 
 def distinct_texts(values: Column) -> Column:
     """Trimmed, without empty ones, the first of those equal but for case."""
     own = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
-    low = F.transform(own, lambda v: F.lower(v))
-    return F.filter(own, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+    return first_wins(own)
 
 
 def register(requests: DataFrame, intel: DataFrame) -> DataFrame:

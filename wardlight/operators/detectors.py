@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import url as U
-from ..functions.text import escape, strip_tags
+from ..functions.text import bind, escape, first_wins, strip_tags
 
 EMPTY = "array<string>"
 
@@ -151,20 +151,17 @@ def has_product_json(html: Column) -> Column:
 def free_webmail(html: Column) -> Column:
     """Lower-cased addresses at free mail hosts: all of mailto links, then of the text until there are five."""
     mailto = F.filter(F.transform(all_matches(_html(html), r"(?i)mailto:([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})", 1), F.lower), lambda m: m.rlike(f"@(?:{fixed.WEBMAIL})\\."))
-    links = F.array_distinct(mailto)
     plain = F.substring(F.regexp_replace(_html(html), r"(?is)<script.*?</script>", " "), 1, 200_000)
     text = F.array_distinct(F.transform(all_matches(plain, rf"(?i)\b([a-z0-9._%+-]+@(?:{fixed.WEBMAIL})\.[a-z]{{2,}})\b", 1), F.lower))
-    new = F.array_except(text, links)
     # a new address is always added before the number is looked at
-    return F.concat(links, F.slice(new, 1, F.greatest(F.lit(1), F.lit(5) - F.size(links))))
+    return bind(F.array_distinct(mailto), lambda links: F.concat(links, F.slice(F.array_except(text, links), 1, F.greatest(F.lit(1), F.lit(5) - F.size(links)))))
 
 
 def offplatform_chat(html: Column) -> Column:
     """The first five addresses at chat hosts, distinct but for case.  Hosts aren't anchored."""
     hosts = "|".join(escape(h) for h in fixed.CHAT_HOSTS)
     found = all_matches(_html(html), rf"(?i)(?:https?://)?(?:{hosts})(?:/[^\s\"'<>]*)?")
-    low = F.transform(found, lambda x: F.lower(x))
-    return F.slice(F.filter(found, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, 5)
+    return F.slice(first_wins(found), 1, 5)
 
 
 def copyright_text(text: Column) -> Column:

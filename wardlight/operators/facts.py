@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import url as U
+from ..functions.text import bind, first_wins
 from .detectors import contains_any
 
 SIGNAL = "array<struct<signal: string, grp: string, strength: double, value: string, evidence: string>>"
@@ -27,8 +28,7 @@ def signals(*items: Column) -> Column:
 
 
 def first_of_each(facts: Column) -> Column:
-    known = F.transform(facts, lambda f: f["signal"])
-    return F.filter(facts, lambda f, i: F.array_position(known, f["signal"]) == i + 1)
+    return first_wins(facts, lambda f: f["signal"])
 
 
 def names(facts: Column) -> Column:
@@ -221,9 +221,9 @@ TLS_RISKS = {
 
 def with_tls_risk(facts: Column) -> Column:
     """The facts, and one more if any of them makes the connection risky."""
-    known = names(facts)
-    reasons = F.array_compact(F.array(*[F.when(F.array_contains(known, k), v) for k, v in TLS_RISKS.items()]))
-    return F.concat(facts, signals(signal(F.size(reasons) > 0, "tls_risk", "identity", 1, TRUE, F.array_join(reasons, "; "))))
+    reasons = lambda known: F.array_compact(F.array(*[F.when(F.array_contains(known, k), v) for k, v in TLS_RISKS.items()]))
+    risk = lambda why: signals(signal(F.size(why) > 0, "tls_risk", "identity", 1, TRUE, F.array_join(why, "; ")))
+    return bind(facts, lambda own: F.concat(own, bind(bind(names(own), reasons), risk)))
 
 
 def input_facts(*sources: Column) -> Column:

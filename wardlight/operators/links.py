@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import url as U
+from ..functions.text import bind, first_wins
 from .detectors import client_redirects, contains_any
 
 DEAD_RATIO, DOMINANT_SHARE, SAMPLES = 0.5, 0.3, 5
@@ -87,16 +88,18 @@ def trust_navigation(items: Column) -> Column:
     no usable address is non-functional, the first of equal category, reason and text.
     """
     own = F.transform(items, lambda t: F.struct(t["text"].alias("text"), F.trim(t["href"]).alias("href"), trust_category(t["text"], t["href_attr"]).alias("category"), t["source"].alias("source")))
-    own = F.filter(own, lambda t: t["category"].isNotNull())
-    good = F.filter(own, lambda t: ~is_inert(t["href"]))
-    keys = F.transform(good, lambda t: F.lower(t["href"]))
-    candidates = F.transform(F.filter(good, lambda t, i: F.array_position(keys, F.lower(t["href"])) == i + 1), lambda t: F.struct(t["text"].alias("text"), t["href"].alias("href"), t["category"].alias("category")))
+    return bind(own, _trust_parts)
+
+
+def _trust_parts(own: Column) -> Column:
+    named = F.filter(own, lambda t: t["category"].isNotNull())
+    good = first_wins(F.filter(named, lambda t: ~is_inert(t["href"])), lambda t: F.lower(t["href"]))
+    candidates = F.transform(good, lambda t: F.struct(t["text"].alias("text"), t["href"].alias("href"), t["category"].alias("category")))
     reason = lambda t: F.when((t["source"] == "anchor") | (t["href"] != ""), "inert_href").otherwise("non_navigable_control")
-    bad = F.transform(F.filter(own, lambda t: is_inert(t["href"])), lambda t: F.struct(t["text"].alias("text"), t["category"].alias("category"), reason(t).alias("reason")))
-    label = lambda t: F.concat_ws("|", t["category"], t["reason"], F.lower(t["text"]))
-    bad_keys = F.transform(bad, label)
-    named = lambda t: F.struct(F.when(t["text"] != "", t["text"]).otherwise(t["category"]).alias("text"), t["category"].alias("category"), t["reason"].alias("reason"))
-    return F.struct(candidates.alias("candidates"), F.transform(F.filter(bad, lambda t, i: F.array_position(bad_keys, label(t)) == i + 1), named).alias("non_functional"))
+    bad = F.transform(F.filter(named, lambda t: is_inert(t["href"])), lambda t: F.struct(t["text"].alias("text"), t["category"].alias("category"), reason(t).alias("reason")))
+    bad = first_wins(bad, lambda t: F.concat_ws("|", t["category"], t["reason"], F.lower(t["text"])))
+    label = lambda t: F.struct(F.when(t["text"] != "", t["text"]).otherwise(t["category"]).alias("text"), t["category"].alias("category"), t["reason"].alias("reason"))
+    return F.struct(candidates.alias("candidates"), F.transform(bad, label).alias("non_functional"))
 
 
 def trust_status(pages: DataFrame, probes: DataFrame, page: str = "page", url: str = "url", navigation: str = "navigation") -> DataFrame:

@@ -152,3 +152,14 @@ def test_stream(spark, tmp_path):
     q = stream.write_labels(stream.read_captures(spark, str(tmp_path / "in"), "job_id int, url string, html string"), str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination()
     assert {r.job_id: r.label for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: "Gambling", 2: "Other_Site"}
+
+
+def test_small_helpers(spark):
+    one = lambda e: spark.range(1).select(e.alias("x")).first().x
+    kinds = {"net::ERR_CERT_DATE_INVALID": "cert", "net::ERR_SSL_PROTOCOL_ERROR": "connection", "net::ERR_CONNECTION_REFUSED": "connection", "boom": "other"}
+    assert [one(stores.navigation_error(F.lit(k))) for k in kinds] == list(kinds.values())
+    assert one(stores.run_id(F.lit("_a b/c_"), F.to_timestamp(F.lit("2024-01-02 03:04:05")))) == "a_b_c_2024-01-02T030405000Z"
+    assert one(stores.is_blocked(F.lit("https://www.google-analytics.com/x"))) and not one(stores.is_blocked(F.lit("https://a.example")))
+    assert one(stores.with_scheme(F.lit("a.example"))) == "https://a.example" and one(stores.to_http(F.lit("HTTPS://a"))) == "http://a"
+    report = one(reports.official_report(F.lit("https://a.example/x"), F.struct(F.lit(100).alias("score"), F.lit("r").alias("reason"), F.array(F.lit("f")).alias("flags"))))
+    assert report.domains == ["a.example"] and report.findings == ["Trust score: 100/100", "Reason: r", "Signal: f"]

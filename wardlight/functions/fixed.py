@@ -265,3 +265,8 @@ CONCEPT_FACTS = [
     ("semantic_scam_language_detected", ["investmentScamScore", "feeCollectionScore", "supportPaymentScamScore", "rewardOrGrantScamScore", "recruitmentFeeScore"], "medium"),
     ("semantic_transaction_language_detected", ["shoppingScore", "checkoutScore", "paymentScore"], "medium"),
 ]
+
+# Hosts whose requests a capture does without.
+BLOCKED_HOSTS = """doubleclick.net googlesyndication.com google-analytics.com adservice.google.com connect.facebook.net quantserve.com
+outbrain.com taboola.com adnxs.com intercom.io drift.com hs-scripts.com zendesk.com onetrust.com cookiebot.com trustarc.com
+usercentrics.eu cookielaw.org""".split()

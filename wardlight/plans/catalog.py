@@ -643,3 +643,55 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     jobs = table(spark, sf_dir, "pages").select(k.alias("index"), F.when(k % 10 != 0, F.col("url")).alias("url"), "html")
     return C.batch(jobs).select("index", "error", F.col("label").isNotNull().alias("has_label"))
+
+
+# --- records of domains, redirects, reports --------------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'ns1.Sedoparking.com.' WHEN 1 THEN 'ns.bodis.com' ELSE 'ns1.corp.example' END AS ns, CASE s_suppkey % 5 WHEN 0 THEN '34.102.136.180' WHEN 1 THEN '198.54.117.9' ELSE '8.8.8.8' END AS ip FROM supplier)
+SELECT k, CASE WHEN k % 4 < 2 THEN ns END AS name_server, CASE WHEN k % 5 < 2 THEN ip END AS ip, CASE WHEN k % 7 = 0 THEN 'UNRESOLVED' WHEN k % 5 < 2 THEN 'PARKED_INFRASTRUCTURE' ELSE 'CLEAN' END AS flag, k % 3 = 0 OR k % 2 = 0 AS no_email FROM s"""
+)
+def parking_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    ns = F.array(F.lit("ns2.corp.example"), F.when(k % 4 == 0, "ns1.Sedoparking.com.").when(k % 4 == 1, "ns.bodis.com").otherwise("ns1.corp.example"))
+    ip = F.array(F.when(k % 5 == 0, "34.102.136.180").when(k % 5 == 1, "198.54.117.9").otherwise("8.8.8.8"))
+    mx = F.array(F.struct(F.when(k % 3 == 0, ".").otherwise("mx.corp.example").alias("exchange"), F.lit(0).alias("priority")))
+    txt = F.array(F.array(F.lit("v=spf1 "), F.when(k % 2 == 0, " -all").otherwise("include:x -all")))
+    first = lambda a: F.get(a, F.lit(0))
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), first(D.parking_name_servers(ns)).alias("name_server"), first(D.parking_ips(ip)).alias("ip"), D.parking_flag(F.when(k % 7 != 0, ip)).alias("flag"), D.no_email(mx, txt).alias("no_email"))
+
+
+@query(
+    """SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN 'CDN' WHEN 1 THEN 'MajorCloud' WHEN 2 THEN 'SharedHosting' WHEN 3 THEN 'CheapVPS' WHEN 4 THEN 'CDN' ELSE 'Unknown' END AS provider, s_suppkey % 4 = 0 AS bulletproof, s_suppkey % 3 <> 2 AS same_org FROM supplier"""
+)
+def provider_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    isp = F.when(k % 6 == 0, "Cloudflare, Inc.").when(k % 6 == 1, "Google LLC").when(k % 6 == 2, "GoDaddy").when(k % 6 == 3, "FranTech").when(k % 6 == 4, "x").otherwise("Acme")
+    org = F.when(k % 3 == 0, "ACME, Inc.").when(k % 3 == 1, "The Acme Inc Group").otherwise("Ac")
+    known = F.array(F.lit("Acme Inc"), F.lit("ab"))
+    host = F.when(k % 4 == 0, "Best Offshore Ltd").otherwise("Plain Ltd")
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), X.provider_category(isp, F.when(k % 6 == 4, "AS54113 Fastly")).alias("provider"), trust.is_bulletproof(host).alias("bulletproof"), X.org_matches(org, known).alias("same_org"))
+
+
+@query(
+    """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 4 <> 0 OR o_orderkey % 3 = 0 END AS was_redirected,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 4 = 2 OR o_orderkey % 3 = 0 END AS is_cross_domain,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE array_to_string(list_filter([CASE WHEN o_orderkey % 4 <> 0 THEN 'http' END, CASE WHEN o_orderkey % 3 = 0 THEN 'javascript' END], lambda x: x IS NOT NULL), ',') END AS types FROM orders"""
+)
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    hop = F.when(k % 4 == 2, "https://other.example/").otherwise("https://www.own.example/x")
+    hops = F.when((k % 4 != 0) & (k % 5 != 0), F.array(hop))
+    html = F.when(k % 3 == 0, "<script>location.replace('https://evil.example/')</script>")
+    found = L.redirects(hops, html, F.lit("https://own.example/"), F.lit("own.example"), F.when(k % 5 == 0, "timeout"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), found.alias("r"))
+    return rows.select("k", "r.was_redirected", "r.is_cross_domain", F.array_join("r.types", ",").alias("types"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 8 = 3 THEN 3 END::BIGINT AS delay, CASE WHEN page_id % 8 = 3 THEN '/next' END AS target FROM pages"""
+)
+def meta_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.meta_refresh(F.col("html"))
+    return decorated(spark, sf_dir).select("page_id", found.alias("m")).select("page_id", F.col("m.delay").cast("long").alias("delay"), "m.target")

@@ -6,6 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..operators.detectors import contains_any
+
 BRAND = """brand_id string, brand_names array<string>, official_site string, official_domains array<string>, registrant_organizations array<string>,
 registrant_countries array<string>, tls_subject_organizations array<string>, registrar_names array<string>, registrar_ids array<string>,
 min_registration_age_days int, expected_country string, logo_path string, created_at string, updated_at string"""
@@ -58,8 +61,9 @@ def write_stage(df: DataFrame, folder: str, stage: str, run_id: str) -> None:
 
 
 def run_id(host: Column, at: Column) -> Column:
-    safe = F.regexp_replace(F.lower(host), "[^a-z0-9.-]+", "_")
-    return F.concat(safe, F.lit("_"), F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss"))
+    """A run's name: the host without odd characters, and the time."""
+    safe = F.regexp_replace(F.regexp_replace(F.coalesce(host, F.lit("")), "[^a-zA-Z0-9._-]+", "_"), "^_+|_+$", "")
+    return F.concat(F.coalesce(F.nullif(safe, F.lit("")), F.lit("unknown")), F.lit("_"), F.date_format(at, "yyyy-MM-dd'T'HHmmssSSS'Z'"))
 
 
 # --- addresses and frames of captures --------------------------------------------------------------------------------
@@ -73,14 +77,20 @@ def to_http(url: Column) -> Column:
     return F.regexp_replace(url, "(?i)^https://", "http://")
 
 
-CERTIFICATE = r"(?i)ERR_CERT|ERR_SSL|SSL_|certificate"
-CONNECTION = r"(?i)ERR_CONNECTION|ERR_NAME_NOT_RESOLVED|ERR_ADDRESS|ERR_TIMED_OUT|ERR_EMPTY_RESPONSE|ECONNREFUSED|ENOTFOUND|timeout"
+# What failed https navigation says; certificates are looked for first.
+CERTIFICATE = r"(?i)ERR_CERT|CERT_AUTHORITY|CERT_DATE|CERT_COMMON_NAME|certificate"
+CONNECTION = r"(?i)ERR_SSL|SSL_PROTOCOL_ERROR|ERR_CONNECTION_CLOSED|ERR_CONNECTION_RESET|ERR_CONNECTION_REFUSED|ERR_CONNECTION_TIMED_OUT|ERR_TIMED_OUT"
 
 
 def navigation_error(message: Column) -> Column:
     return F.when(message.rlike(CERTIFICATE), "cert").when(message.rlike(CONNECTION), "connection").otherwise("other")
 
 
+def is_blocked(request_url: Column) -> Column:
+    """A request that a capture doesn't make."""
+    return F.coalesce(contains_any(request_url, fixed.BLOCKED_HOSTS), F.lit(False))
+
+
 def without_code(html: Column) -> Column:
     for tag in ("script", "style", "noscript"):
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")

@@ -405,7 +405,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     shuffled = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     doc = F.coalesce("doc_id", F.lit(LAST)).alias("doc")
     scanned = docs.select(doc, "row", "text").mapInArrow(_scan(span), _RUN)
-    met = scanned.repartition(shuffled, "gram").sortWithinPartitions("gram", "whole", "doc", "place").mapInArrow(_stream(span), _MET)
+    # runs marked already meet nobody: they are dealt by their row, or those of a common passage would fill one task
+    meets = F.when(F.col("place") % 2 == 1, F.col("gram")).otherwise(F.col("row"))
+    met = scanned.repartition(shuffled, meets).sortWithinPartitions("gram", "whole", "doc", "place").mapInArrow(_stream(span), _MET)
     place = F.col("place")
     met = cut(met.select((place % 2).alias("kind"), "gram", "row", F.shiftright(place, 9).alias("start"), (F.shiftright(place, 1) % 256).cast("int").alias("windows")))
     left = met.where("kind = 1")

@@ -267,6 +267,19 @@ def test_sketch(spark, docs, empty):
     assert sketch.against_edit(empty).count() == 0
 
 
+def test_containment_of_very_unequal_texts(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    inside = [" ".join(f"w{i}" for i in range(at, at + n)) for at in range(0, 2900, 100) for n in (5, 6, 12, 40)]
+    half = " ".join([f"w{i}" for i in range(10, 18)] + [f"other{i}" for i in range(4)])
+    rows = [(k, t, long) for k, t in enumerate([*inside, half, "no such words are in the long text", ""])]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    found = df.select("k", sketch.containment(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("c"), sketch.resemblance(sketch.sketch(F.col("b")), sketch.sketch(F.col("a"))).alias("s"))
+    got = {r.k: (r.c, r.s) for r in found.collect()}
+    for k, t in enumerate(inside):
+        assert got[k] == (1, (len(t.split()) - 4) / 2996)
+    assert [got[len(inside) + k] for k in range(3)] == [(0.5, 4 / 3000), (0, 0), (0, 0)]
+
+
 def test_next_document_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(sketch, "BUCKET_ROWS", 3)
     ids = sorted(RNG.sample(range(10000), 40), reverse=True)

@@ -1,10 +1,10 @@
-"""Document fingerprints that keep every shingle hash below a fixed fraction.
+"""Document fingerprints that keep every shingle hash.
 
 A shingle is five neighbouring words (a text of fewer is one shingle); its hash is XXH64 over its words' XXH64.  The
-sketch keeps the hashes in the lowest 1/FRACTION of their range, and the least one in any case, so that a text with
-words has a sketch.  Sketches grow with texts; the sketch of a union is the union of sketches (less minima that are
-above the threshold), and the share of the smaller sketch found in the larger estimates containment however unequal
-the documents are.
+sketch keeps all distinct hashes, the fraction 1 of their range: with any smaller one a short text can be left without
+a hash below the threshold, and its containment can't be told.  Sketches grow with texts; the sketch of a union is the
+union of sketches, and the share of the smaller sketch found in the larger is the containment (but for clashes of
+64-bit hashes) however unequal the documents are.
 
 Cases.  Null texts are empty.  Texts without words have an empty sketch; two of these are fully alike, one and a text
 with words not at all.  Equal texts have equal sketches.  Repeated ids follow one another in an order fixed by a hash
@@ -20,40 +20,41 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words
 
-SHINGLE, FRACTION = 5, 16
-BELOW = -(1 << 63) + (1 << 64) // FRACTION
+SHINGLE = 5
 FIRST = -(1 << 63)
 #: Documents in a bucket when the table is put in order, and the most buckets.
 BUCKET_ROWS, BUCKETS = 1500, 40_000
 
 
 def sketch(text: Column) -> Column:
-    """Sorted distinct kept hashes of a whole text (array<long>)."""
-    return _kept(F.transform(ascii_words(text), lambda w: F.xxhash64(w)))
+    """Sorted distinct hashes of a whole text (array<long>)."""
+    return _distinct(F.transform(ascii_words(text), lambda w: F.xxhash64(w)))
 
 
-def _kept(hashes: Column) -> Column:
+def _distinct(hashes: Column) -> Column:
     # the words' hashes are bound once, as the only element of an array, so that they aren't computed again and again
     def shingles(h: Column) -> Column:
         many = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
         return F.when(F.size(h) >= SHINGLE, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
 
-    def kept(s: Column) -> Column:
-        return F.sort_array(F.array_distinct(F.concat(F.filter(s, lambda x: x < BELOW), F.array_compact(F.array(F.array_min(s))))))
-
-    return F.get(F.transform(F.transform(F.array(hashes), shingles), kept), F.lit(0))
+    return F.sort_array(F.array_distinct(F.get(F.transform(F.array(hashes), shingles), F.lit(0))))
 
 
+# the shared hashes stand outside of any condition, so that both measures of a pair of sketches compute them once
 def containment(a: Column, b: Column) -> Column:
     """Share of the smaller sketch that is in the other one."""
     least = F.least(F.size(a), F.size(b))
-    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
-    return F.when(both_empty, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
+    return (F.size(F.array_intersect(a, b)) + _both_empty(a, b)) / F.greatest(least, F.lit(1))
 
 
 def resemblance(a: Column, b: Column) -> Column:
     """Shared hashes among all hashes of two sketches."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    shared = F.size(F.array_intersect(a, b))
+    return (shared + _both_empty(a, b)) / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
+
+
+def _both_empty(a: Column, b: Column) -> Column:
+    return ((F.size(a) == 0) & (F.size(b) == 0)).cast("int")
 
 
 def as_hex(s: Column) -> Column:
@@ -80,7 +81,7 @@ def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """(doc_id, text, sketch, next_text, next_sketch): the next document by descending id; after the last comes the first.
 
     The table is put in order in buckets of neighbouring ids; a bucket also gets a copy of what follows its last
-    document, so nothing but the documents themselves moves, once.
+    document, so nothing but the documents themselves moves, once: sketches are made afterwards.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = docs.count()
@@ -94,10 +95,10 @@ def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     ghosts = F.broadcast(spark.createDataFrame(follows, "bucket int, key long"))
     full = dealt.select("doc_id", "key", "text", "bucket", F.lit(0).alias("ghost"))
     copies = docs.join(ghosts, "key").select("doc_id", "key", "text", "bucket", F.lit(1).alias("ghost"))
-    both = full.unionByName(copies).withColumn("sketch", sketch(F.col("text")))
+    both = full.unionByName(copies)
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("key").desc(), F.xxhash64("text").desc())
-    follower = F.lead(F.struct("text", "sketch")).over(order)
-    return both.withColumn("follower", follower).where("ghost = 0").select("doc_id", "text", "sketch", F.col("follower.text").alias("next_text"), F.col("follower.sketch").alias("next_sketch"))
+    followed = both.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0")
+    return followed.select("doc_id", "text", sketch(F.col("text")).alias("sketch"), "next_text", sketch(F.col("next_text")).alias("next_sketch"))
 
 
 def against_edit(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -64,6 +64,18 @@ def test_simhash(docs, empty):
     assert len(kept) == len(set(kept)) and 8 in kept and 9 not in kept and None in kept
 
 
+def test_representatives_are_chosen_by_row(spark):
+    word = lambda k, n=30: " ".join(f"{k}x{i}" for i in range(n))
+    rows = [(None, word("a")), (None, word("b")), (None, word("c")), (None, word("c"))]  # no id, three texts
+    rows += [(7, word("d")), (None, word("d"))]  # a row without id is a copy of one with an id
+    rows += [(8, word("e")), (8, word("f")), (3, word("f")), (8, word("e"))]  # an id with two texts, one a copy of another id's
+    rows += [(9, word("g")), (9, word("h")), (0, word("i")), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, bits string").repartition(5)
+    kept = [(r.doc_id, r.text or "") for r in simhash.representatives(df).collect()]
+    want = [(None, word("a")), (None, word("b")), (None, word("c")), (7, word("d")), (8, word("e")), (3, word("f")), (9, word("g")), (9, word("h")), (0, word("i")), (None, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_simhash_links_are_complete(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**63), 2**63 - 1, 40, dtype=np.int64)

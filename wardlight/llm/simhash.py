@@ -49,13 +49,19 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, bits): the fingerprint of every whole text, as a signed 64-bit number."""
+    return _prints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), shingle)
+
+
+def _prints(df: DataFrame, shingle: int) -> DataFrame:
+    """``df`` (doc_id, text, others) with bits instead of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             values = np.fromiter((text_fingerprint(x.as_py(), shingle) for x in part.column(1)), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64))], names=["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64)), *part.columns[2:]], names=["doc_id", "bits", *part.schema.names[2:]])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, bits long")
+    others = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[2:]]
+    return df.mapInArrow(run, ", ".join(["doc_id long", "bits long", *others]))
 
 
 def links(distinct_bits: DataFrame, within: int = LINK_BITS) -> DataFrame:
@@ -113,22 +119,33 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", within: int = LINK_BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, bits, component_id), a row for each row of ``df``."""
     prints = cut(fingerprints(df, doc_id, text, shingle))
-    classes = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
-    roots = connected(links(classes.select("bits"), within))
-    rooted = classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    rooted = _rooted(cut(prints.groupBy("bits").agg(F.min("doc_id").alias("least"))), within)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(ids, "root").select("bits", "component_id"), "bits").select("doc_id", "bits", "component_id")
 
 
+def _rooted(classes: DataFrame, within: int) -> DataFrame:
+    """``classes`` (bits, least; distinct bits) with the root of their component."""
+    roots = connected(links(classes.select("bits"), within))
+    return classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+
+
 def fingerprint_hex(bits: str = "bits"):
     return F.lower(F.lpad(F.hex(F.col(bits)), 16, "0"))
 
 
 def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", within: int = LINK_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``df`` that stay when one document of each component is kept: the one with the smallest id.
+    """The rows of ``df`` that stay: one of each component, that with the smallest id.
 
-    Repeated rows of that id count as one document.  Where all ids of a component are null, one row stays.
+    Rows are told apart by id and text (96 bits of its hashes), as an id can be null or stand in several components.
+    Null ids come last, so a row without an id stays where all ids of its component are null.  Of unequal texts of
+    one id, the one of the smallest hash stays.
     """
-    found = components(df, doc_id, text, within, shingle)
-    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone")), "left_anti").dropDuplicates([doc_id])
+    own_id, own_text = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")
+    marks = {"__null": own_id.isNull(), "__id": F.coalesce(own_id, F.lit(0)), "__mark": F.xxhash64(own_text), "__mark2": F.hash(own_text)}
+    prints = cut(_prints(df.select(own_id.alias("doc_id"), own_text.alias("text"), *[m.alias(k) for k, m in marks.items()]), shingle))
+    classes = cut(prints.groupBy("bits").agg(F.min(F.struct(*marks)).alias("least")))
+    stay = _rooted(classes, within).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    # repeated rows shrink within each slice before the shuffle; the join needs no other one
+    rows = df.withColumns(marks).dropDuplicates(list(marks))
+    return rows.join(stay, list(marks), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontaminate as dec
 from . import licences as lic
 from . import urlfilter as url
 
@@ -88,13 +89,22 @@ FROM x GROUP BY conv_id, speaker, block"""
 
 
 DECONTAMINATE = rf"""
-WITH d AS MATERIALIZED (SELECT doc_id, {words("text")} AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, {words("text")} AS w, least(10, len(w)) AS n FROM benchmark),
-iw AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS win FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM b WHERE n > 0)),
-dw AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM iw))),
-m AS MATERIALIZED (SELECT doc_id, item, dw.n, i FROM dw JOIN iw USING (n, win)),
-hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id),
-its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+iw AS MATERIALIZED (SELECT DISTINCT item, n, w[i + 1 : i + n] AS win FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM b WHERE n > 0)),
+dp AS MATERIALIZED (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+terms AS MATERIALIZED (SELECT item, win, word, min(i) AS i FROM (SELECT item, win, unnest(range(n)) AS i, unnest(win) AS word FROM iw) GROUP BY item, win, word),
+counts AS MATERIALIZED (SELECT word, count(*) AS n FROM dp WHERE word IN (SELECT word FROM terms) GROUP BY word),
+ranked AS (SELECT item, win, word, i, row_number() OVER (PARTITION BY item, win ORDER BY n, i) AS nth, count(*) OVER (PARTITION BY item, win) AS known FROM terms JOIN counts USING (word)),
+anchors AS MATERIALIZED (SELECT *, least({dec.LEAST}, len(list_distinct(win))) AS wanted FROM ranked WHERE nth <= known - least({dec.LEAST}, len(list_distinct(win))) + 1),
+places AS (SELECT r, dp.i - a.i AS s, item, win, wanted FROM dp JOIN anchors a USING (word)),
+near AS MATERIALIZED (SELECT places.r, item, s, win, w[greatest(s, 0) + 1 : greatest(s + len(win), 0)] = win AND s >= 0 AS exact
+  FROM places JOIN d USING (r) WHERE len(list_intersect(win, w[greatest(s - {dec.SLACK}, 0) + 1 : greatest(s + len(win) + {dec.SLACK}, 0)])) >= wanted),
+dw AS (SELECT r, n, i, w[i + 1 : i + n] AS win FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM iw))),
+m AS MATERIALIZED (SELECT r, item, dw.n, i FROM dw JOIN iw USING (n, win)),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM m) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY r),
+close AS (SELECT r, count(DISTINCT item) AS n_near FROM (SELECT r, item FROM near UNION ALL SELECT r, item FROM m) GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r) LEFT JOIN close USING (r)"""

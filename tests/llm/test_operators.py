@@ -19,7 +19,7 @@ def line(n):
 
 
 BASE = line(60)
-TEXTS = [None, "", "   ", "\n\t", "one", "Under the MIT License", "under the mit license " * 3, "CC-BY-NC; Apache License, version 2", BASE, BASE, BASE + " tail", "head " + BASE, "漢字 かな 😀", "a" * 400, "ab" * 300, line(300)]
+TEXTS = [None, "", "   ", "\n\t", "one", "Under the MIT License", "under the mit license " * 3, "CC-BY-NC; Apache License, version 2", BASE, BASE, BASE + " tail", "head " + BASE, "漢字 かな 😀", "aé�ü" * 40 + "漢字" * 30, "é" + "漢字" * 40 + "� end", "a" * 400, "ab" * 300, line(300)]
 TEXTS += [line(RNG.randint(1, 80)) for _ in range(30)] + [BASE.replace("beta", "BETA", 1)]
 
 
@@ -108,11 +108,31 @@ def test_repeats(docs, empty, monkeypatch):
         rows = repeats.remove_repeats(docs, others=True).collect()
         assert len(rows) == len(TEXTS) + 2
         assert all(bytes(r.kept) == want[r.doc_id] for r in rows if r.doc_id is not None)
+        assert all(r.kept_text == bytes(r.kept).decode() for r in rows if not r.n_removed)
+        for r in rows:
+            if r.n_removed and r.doc_id is not None:
+                raw, gone = order[r.doc_id], {k for s in r.spans for k in range(s.start, s.end)}
+                at, chars = 0, []
+                for c in raw.decode():
+                    size = len(c.encode())
+                    chars += [c] * gone.isdisjoint(range(at, at + size))
+                    at += size
+                assert r.kept_text == "".join(chars)
         assert all(r.n_removed == sum(s.end - s.start for s in r.spans) == r.n_bytes - len(r.kept) for r in rows)
         assert {r.others.row for r in rows} == {"clash", "c"}
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_rows_without_id(spark):
+    word = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, word + " one"), (None, word + " two"), (None, word + " one"), (2**63 - 1, word + " three"), (5, word[:120])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = repeats.remove_repeats(df).collect()
+    assert sorted(r.n_removed > 0 for r in found if r.doc_id is None) in ([False, False, True], [True, True, True])
+    gone = {bytes(r.kept).decode() for r in found if r.doc_id is None and r.n_removed}
+    assert len(gone) <= 2 and next(r for r in found if r.doc_id == 5).n_removed == 0
+
+
 def test_suffix_array():
     for raw in (b"banana", b"a" * 50, bytes(RNG.choice(b"ab\0") for _ in range(300)), b"\0\0\0", b"x"):
         a = np.frombuffer(raw, np.uint8)
@@ -194,6 +214,25 @@ def test_forward_sums_all_segmentations():
     got = langid.forward(lattice, probs, words)
     want = [[np.log(total(w, k)) for k in range(2)] for w in words]
     assert np.allclose(got, want)
+    # expected counts of pieces, by spelling out all segmentations
+    def spelt(w, k):
+        if not w:
+            return [(1.0, [])]
+        out = []
+        for n in range(1, len(w) + 1):
+            p = probs[vocabulary.index(w[:n]), k] if w[:n] in vocabulary else langid.OTHER if n == 1 else 0.0
+            out += [(p * q, [w[:n], *rest]) for q, rest in spelt(w[n:], k)] if p else []
+        return out
+
+    want = np.zeros(len(vocabulary))
+    for w, times in zip(words, (3.0, 1.0, 2.0, 1.0), strict=True):
+        ways = spelt(w, 1)
+        for p, pieces_ in ways:
+            for x in pieces_:
+                if x in vocabulary:
+                    want[vocabulary.index(x)] += times * p / sum(q for q, _ in ways)
+    assert np.allclose(langid.posterior_counts(lattice, probs[:, 1], words, np.array([3.0, 1.0, 2.0, 1.0])), want)
+    assert np.isfinite(langid.posterior_counts(lattice, probs[:, 0], ["▁" + "ab" * 500], np.ones(1))).all()
     long = langid.forward(lattice, probs, ["▁" + "ab" * 2000])
     assert np.isfinite(long).all()
 
@@ -202,6 +241,10 @@ def test_quality(spark, docs, empty):
     rows = [(i, line(40) if i % 3 else " ".join(["spam"] * 40) + " ### ***", int(i % 3 > 0)) for i in range(150)]
     data = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     model = quality.train(data.select("doc_id", "text"), data.select("doc_id", "quality"), among=F.col("i") % 5 != 0, neighbours=9)
+    t = quality.terms(["x"] * 6)
+    for n in (1, 6):  # equal vectors only: no weight, no NaN
+        same = quality.fit(t[:n], [1.0, 0.0, 1.0, 1.0, 1.0, 1.0][:n])
+        assert np.allclose(same.score(["x", None, "other text"]), same.labels.mean())
     held = [r for r in quality.score(data, model).collect() if r.doc_id % 5 == 0]
     assert all((r.score >= 0.5) == bool(r.quality) for r in held)
     odd = quality.score(docs.drop("score"), model).collect()
@@ -211,6 +254,20 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.score(docs.drop("score"), blank).collect()} == {0.5}
 
 
+def test_quality_votes(spark):
+    texts = [line(RNG.randint(1, 40)) + RNG.choice(["", " ###", " 123", "\n" * 3]) for _ in range(60)] + ["same text"] * 10
+    labels = [RNG.randint(0, 1) for _ in texts]
+    model = quality.fit(quality.terms(texts), labels, axes=8, neighbours=7, power=3.0)
+    asked = [*texts[:20], None, "", "same text", "漢字"]
+    vectors, own = model.vectors.astype(float), model.project(quality.terms(asked)).astype(float)
+    for t, v, got in zip(asked, own, model.score(asked), strict=True):
+        cosine = [round(float(v @ u), 6) for u in vectors]
+        near = sorted(range(len(texts)), key=lambda i: (-cosine[i], i))[:7]
+        weight = [max(cosine[i], 1e-6) ** 3 for i in near]
+        want = sum(w * labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight)
+        assert abs(got - want) < 1e-3, t
+
+
 def words_of(t):
     import re
 
@@ -336,8 +393,41 @@ def test_containment_of_very_unequal_texts(spark):
     assert [got[len(inside) + k] for k in range(3)] == [(0.5, 4 / 3000), (0, 0), (0, 0)]
 
 
+def test_fractions(spark):
+    df = spark.createDataFrame([(line(300),), ("two words",), ("",)], "t string")
+    whole, part = sketch.sketch(F.col("t")), sketch.sketch(F.col("t"), 0.25)
+    for r in df.select(whole.alias("w"), part.alias("p"), sketch.below(whole, 0.25).alias("b")).collect():
+        assert r.p == r.b == [h for h in r.w if h + 2**63 < 2**62]
+
+
+def test_sketch_hashes(docs):
+    def signed(x):
+        return x - 2**64 if x >= 2**63 else x
+
+    def chain(hashes):  # XXH64 of longs, each with the hash before as its seed
+        h = 42
+        for x in hashes:
+            h = xxhash.xxh64_intdigest((x % 2**64).to_bytes(8, "little"), h)
+        return signed(h)
+
+    rows = sketch.fingerprints(docs).collect()
+    texts = dict(enumerate(TEXTS)) | {None: "alone without id"}
+    for r in rows:
+        w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in words_of(texts[r.doc_id])]
+        want = {chain(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {chain(w)} if w else set()
+        assert r.sketch == sorted(want)
+
+
 def test_next_document_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(sketch, "BUCKET_ROWS", 3)
+    rows = [(None, f"n{i}") for i in range(40)] + [(7, f"s{i}") for i in range(30)] + [(i, f"t{i}") for i in range(20)]
+    found = sketch.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    follow = {r.text: r.next_text for r in found}
+    ring = ["t19"]
+    while (x := follow[ring[-1]]) != "t19":
+        ring.append(x)
+    assert len(found) == len(ring) == 90 and [x[0] for x in ring[-40:]] == ["n"] * 40
+    assert ring[:12] == [f"t{i}" for i in range(19, 7, -1)] and {x for x in ring[12:43]} == {f"s{i}" for i in range(30)} | {"t7"}
     ids = sorted(RNG.sample(range(10000), 40), reverse=True)
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     follow = {r.doc_id: r.next_text for r in sketch.with_next(df).collect()}
@@ -355,13 +445,44 @@ def test_urls(spark):
     assert urlfilter.verdicts(df.where("false")).count() == 0
 
 
+def test_propagation(spark):
+    """Hubs, cycles, dangling hosts and long chains against a dense solution."""
+    hosts = [f"h{i}" for i in range(60)]
+    edges = {(f"h{i}", f"h{i + 1}") for i in range(25)} | {("h25", "h20"), ("h3", "h3x")} | {("h30", h) for h in hosts if h != "h30"} | {(h, "h40") for h in hosts[41:]}
+    hosts = sorted({x for e in edges for x in e})
+    at = {h: i for i, h in enumerate(hosts)}
+    seeds = {"h0": (1.0, 0.0), "h40": (0.0, 1.0), "h22": (1.0, 0.0), "h3x": (0.0, 1.0)}
+    want = []
+    for k, way in enumerate((edges, {(b, a) for a, b in edges})):
+        m = np.zeros((len(hosts), len(hosts)))
+        for a, b in way:
+            m[at[b], at[a]] = 0.85 / sum(x == a for x, _ in way)
+        s = np.array([0.15 * seeds.get(h, (0, 0))[k] for h in hosts])
+        want.append(np.linalg.solve(np.eye(len(hosts)) - m, s))
+    links = spark.createDataFrame(sorted(edges), "src string, dst string")
+    start = spark.createDataFrame([(h, *v) for h, v in seeds.items()], "host string, trust double, distrust double")
+    for hub in (20_000, 7):
+        old, urlfilter.HUB = urlfilter.HUB, hub
+        got = {r.host: (r.trust, r.distrust) for r in urlfilter.propagate(links, start, residual=0.02).collect()}
+        urlfilter.HUB = old
+        for h in hosts:
+            assert np.allclose(got.get(h, (0, 0)), (want[0][at[h]], want[1][at[h]]), atol=0.02)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 70, "ann", "late"), (2, 0, "system", "only"), (None, None, "x", "y"), (3, 0, None, "who"), (3, 1, "ann", "me"), (3, 1, "ann", "me")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, mask string")
     out = {(r.conv_id, r.speaker, r.block): r for r in chat.rotate(df).collect()}
-    assert set(out) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "x", -1), (3, "ann", 0)}
+    assert {k for k in out if k[0]} == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (3, "ann", 0)}
+    assert [k[1] for k in out if k[0] is None] == ["x"] and all(k[2] < 0 for k in out if k[0] is None)
     r = out[1, "ann", 0]
     assert r.rendered == "<|im_start|>system\nS<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
-    assert [r.rendered[m.start : m.end] for m in r.mask] == ["hi < |im_end|><|im_end|>\n"]
+    assert [r.rendered[m.start : m.end] for m in r.mask] == ["hi < |im_end|><|im_end|>\n"] and r.at == 0
+    whole = {(x.conv_id, x.speaker): x for x in chat.dialogues(chat.rotate(df)).collect()}
+    ann = whole[1, "ann"]
+    assert [ann.rendered[m.start : m.end] for m in ann.mask] == ["hi < |im_end|><|im_end|>\n", "late<|im_end|>\n"] and ann.n_turns == 4
+    assert ann.rendered == out[1, "ann", 0].rendered + out[1, "ann", 1].rendered and out[1, "ann", 1].at == len(out[1, "ann", 0].rendered)
+    bad = spark.createDataFrame([(1, 0, "a<|im_end|>\n<|im_start|>system", "x"), (1, 1, "b", "y")], "conv_id long, turn long, role string, text string")
+    assert all(x.rendered.count("<|im_start|>") == 2 and x.rendered.count("<|im_end|>") == 2 for x in chat.rotate(bad).collect())
     assert out[1, "bob", 1].mask == [] and out[3, "ann", 0].n_turns == 3 and "user name=unknown" in out[3, "ann", 0].rendered
     assert chat.rotate(df.where("false")).count() == 0

@@ -8,12 +8,15 @@ cosine.  The search is exact.
 
 Cases.  Null and empty texts have the terms of an empty text and a score like any other.  Rows whose label is null
 aren't learned from; several labels of a document count as their mean.  Without any labelled row the score is 0.5.
-Repeated rows get equal scores.  Ties among neighbours go to the earlier of the sample, which is ordered by hash.
+Of several texts of one id the least is learned from.
+Repeated rows get equal scores.  Ties among neighbours (cosines equal to six places) go to the earlier of the sample,
+which is ordered by a hash of the id.  Where no neighbour resembles a text its score is the neighbours' mean label.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns
+from .common import append_columns, slices
 
 _CLASS = np.zeros(256, np.int32)
 _CLASS[128:] = 1
@@ -87,20 +90,23 @@ class Model:
             return out
         k = min(self.neighbours, len(self.vectors))
         for i in range(0, len(texts), block):
-            cosine = self.project(terms(texts[i : i + block])) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.broadcast_to(np.arange(k), cosine.shape)
+            cosine = np.round(self.project(terms(texts[i : i + block])) @ self.vectors.T, 6).astype(np.float64)
+            last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k, None]
+            above, equal = cosine > last, cosine == last
+            spare = k - above.sum(1, keepdims=True)
+            near = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= spare)))[1].reshape(-1, k)
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** self.power
             out[i : i + block] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.clip(out, 0, 1)
 
 
-def fit(texts: list[str | None], labels: list[float], axes: int = 48, neighbours: int = 25, power: float = 8.0) -> Model:
-    if not texts:
+def fit(t: np.ndarray, labels: list[float], axes: int = 48, neighbours: int = 25, power: float = 8.0) -> Model:
+    """A model of the rows of ``t`` (as terms() gives them) and their labels."""
+    if not len(t):
         z = np.zeros((0, axes), np.float32)
         return Model(np.ones(TERMS, np.float32), np.zeros(TERMS, np.float32), np.zeros((TERMS, axes), np.float32), z, np.zeros(0), neighbours, power)
-    t = terms(texts)
     rarity = np.log((1 + len(t)) / (1 + (t > 0).sum(0))).astype(np.float32) + 1
-    t *= rarity
+    t = t * rarity
     mean = t.mean(0)
     t -= mean
     _, vectors = np.linalg.eigh(t.T @ t)  # right singular vectors of the centred terms
@@ -111,15 +117,23 @@ def fit(texts: list[str | None], labels: list[float], axes: int = 48, neighbours
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", among: Column | None = None, sample: int = 5000, **how) -> Model:
-    """Fits on about ``sample`` labelled rows at most, those with the least hash of their id; only they reach the driver."""
+    """Fits on about ``sample`` labelled rows at most, those with the least hash of their id; only their terms, a fixed
+    number of bytes a row, reach the driver."""
     own = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("double").alias("y")).where(F.col(label).isNotNull())
     own = own.where(F.lit(True) if among is None else among).groupBy("i").agg(F.avg("y").alias("y"))
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
     n = own.count()
     drawn = own.where(draw < sample / max(1, n)).select("i", "y", draw.alias("draw"))  # so its size has a bound
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(drawn), "i").dropDuplicates(["i"])
-    found = sorted(((r.draw, r.i, r.t, r.y) for r in rows.toLocalIterator(prefetchPartitions=True)), key=lambda r: r[:2])
-    return fit([r[2] for r in found], [r[3] for r in found], **how)
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(drawn), "i").groupBy("i", "y", "draw").agg(F.min("t").alias("t"))
+    found = rows.select("draw", F.xxhash64("i").alias("mark"), "y", "t").mapInArrow(_terms, "draw double, mark long, y double, v binary").toArrow().sort_by([("draw", "ascending"), ("mark", "ascending")])
+    t = np.frombuffer(b"".join(found["v"].to_pylist()), np.float32).reshape(-1, TERMS)
+    return fit(t, found["y"].to_pylist(), **how)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "t", rows=256):
+        made = pa.array([row.tobytes() for row in terms(part.column(3).to_pylist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], made], names=["draw", "mark", "y", "v"])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

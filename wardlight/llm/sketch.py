@@ -1,14 +1,15 @@
-"""Document fingerprints that keep every shingle hash.
+"""Document fingerprints by threshold-scaled sketches.
 
 A shingle is five neighbouring words (a text of fewer is one shingle); its hash is XXH64 over its words' XXH64.  The
-sketch keeps all distinct hashes, the fraction 1 of their range: with any smaller one a short text can be left without
-a hash below the threshold, and its containment can't be told.  Sketches grow with texts; the sketch of a union is the
-union of sketches, and the share of the smaller sketch found in the larger is the containment (but for clashes of
-64-bit hashes) however unequal the documents are.
+sketch keeps every distinct hash below ``fraction`` of the hashes' range, and nothing else.  So the sketch of a union is
+the union of sketches, a sketch of a larger fraction turns into one of a smaller by dropping hashes (below()), and the share of the
+smaller sketch found in the larger estimates containment however unequal the documents are.  FRACTION is 1: the
+estimate is exact but for clashes of 64-bit hashes.  With a smaller one a text of n shingles has no hash below the
+threshold with chance (1 - fraction)^n, and then its containment can't be told and counts as 0.
 
 Cases.  Null texts are empty.  Texts without words have an empty sketch; two of these are fully alike, one and a text
 with words not at all.  Equal texts have equal sketches.  Repeated ids follow one another in an order fixed by a hash
-of the text; null ids come last.  A single document is its own next one.  An empty table gives an empty result.
+of the text; null ids come last, in that order.  A single document is its own next one.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,15 +21,23 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words
 
-SHINGLE = 5
+SHINGLE, FRACTION = 5, 1.0
 FIRST = -(1 << 63)
 #: Documents in a bucket when the table is put in order, and the most buckets.
 BUCKET_ROWS, BUCKETS = 1500, 40_000
 
 
-def sketch(text: Column) -> Column:
-    """Sorted distinct hashes of a whole text (array<long>)."""
-    return _distinct(F.transform(ascii_words(text), lambda w: F.xxhash64(w)))
+def sketch(text: Column, fraction: float = FRACTION) -> Column:
+    """Sorted distinct hashes of a whole text (array<long>), those below ``fraction`` of their range."""
+    return below(_distinct(F.transform(ascii_words(text), lambda w: F.xxhash64(w))), fraction)
+
+
+def below(hashes: Column, fraction: float) -> Column:
+    """The hashes below ``fraction`` of their range; hashes are signed, so that begins at -2^63."""
+    if not 0 < fraction <= 1:
+        raise ValueError("the fraction must be above 0 and at most 1")
+    top = FIRST + int(fraction * (1 << 64))
+    return hashes if fraction == 1 else F.filter(hashes, lambda h: h < F.lit(top))
 
 
 def _distinct(hashes: Column) -> Column:
@@ -87,17 +96,24 @@ def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     n = docs.count()
     parts = min(BUCKETS, -(-n // BUCKET_ROWS))
     cuts = docs.select("key").approxQuantile("key", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    bounds = sorted({int(x) for x in cuts})
-    dealt = docs.withColumn("bucket", _bucket(F.col("key"), bounds))
-    tops = sorted((r.bucket, r.top) for r in dealt.groupBy("bucket").agg(F.max("key").alias("top")).collect())  # as many as buckets
-    follows = [(b, tops[k - 1][1]) for k, (b, _) in enumerate(tops)]
+    # a key that fills several buckets by itself (null ids, say) is cut further, by the hash of the text
+    bounds, share = sorted({int(x) for x in cuts}), max((cuts.count(x) for x in cuts), default=1)
+    order = [F.col("key").desc(), F.col("mark").desc()]
+    finer = F.shiftright("mark", 32) + F.lit(1 << 31)
+    dealt = docs.withColumn("mark", F.xxhash64("text")).withColumn("bucket", _bucket(F.col("key"), bounds))
+    hot = F.col("key").isin([int(x) for x in {c for c in cuts if cuts.count(c) > 1}]) if share > 1 else F.lit(False)
+    # keys between two bounds share a bucket with the upper one, which comes first: its part ends the bucket's
+    dealt = dealt.withColumn("part", F.when(hot, F.floor(finer * share / float(1 << 32)).cast("int") + 1).otherwise(0))
+    tops = dealt.groupBy("bucket", "part").agg(F.max(F.struct("key", "mark")).alias("top")).collect()  # as many as buckets
+    tops = sorted((r.top.key, r.top.mark, r.bucket, r.part) for r in tops)
+    follows = [(b, p, *tops[k - 1][:2]) for k, (_, _, b, p) in enumerate(tops)]
     spark = df.sparkSession
-    ghosts = F.broadcast(spark.createDataFrame(follows, "bucket int, key long"))
-    full = dealt.select("doc_id", "key", "text", "bucket", F.lit(0).alias("ghost"))
-    copies = docs.join(ghosts, "key").select("doc_id", "key", "text", "bucket", F.lit(1).alias("ghost"))
+    ghosts = F.broadcast(spark.createDataFrame(follows, "bucket int, part int, key long, mark long"))
+    full = dealt.select("doc_id", "key", "mark", "text", "bucket", "part", F.lit(0).alias("ghost"))
+    copies = docs.withColumn("mark", F.xxhash64("text")).join(ghosts, ["key", "mark"]).select("doc_id", "key", "mark", "text", "bucket", "part", F.lit(1).alias("ghost"))
     both = full.unionByName(copies)
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("key").desc(), F.xxhash64("text").desc())
-    followed = both.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0")
+    by = Window.partitionBy("bucket", "part").orderBy("ghost", *order)
+    followed = both.withColumn("next_text", F.lead("text").over(by)).where("ghost = 0")
     return followed.select("doc_id", "text", sketch(F.col("text")).alias("sketch"), "next_text", sketch(F.col("next_text")).alias("next_sketch"))
 
 

@@ -27,6 +27,7 @@ from .common import cut, slices
 
 SHINGLE, SEED, LINK_BITS = 4, 42, 4
 HALF, RADIUS = 32, 1
+SALTS = 16
 
 
 def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -119,15 +120,19 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", within: int = LINK_BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, bits, component_id), a row for each row of ``df``."""
     prints = cut(fingerprints(df, doc_id, text, shingle))
-    rooted = _rooted(cut(prints.groupBy("bits").agg(F.min("doc_id").alias("least"))), within)
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("bits", "component_id"), "bits").select("doc_id", "bits", "component_id")
+    classes = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
+    linked = cut(_rooted(classes, within))
+    # a large component is dealt over SALTS tasks; only linked classes have one to look up
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = linked.withColumn("salt", F.pmod(F.xxhash64("bits"), F.lit(SALTS)).cast("int")).join(ids, ["root", "salt"]).select(F.col("bits").alias("node"), "component_id")
+    whole = classes.join(found, classes["bits"] == found["node"], "left").select("bits", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return prints.join(whole, "bits").select("doc_id", "bits", "component_id")
 
 
 def _rooted(classes: DataFrame, within: int) -> DataFrame:
-    """``classes`` (bits, least; distinct bits) with the root of their component."""
+    """Those of ``classes`` (bits, least; distinct bits) that are linked, with the root of their component."""
     roots = connected(links(classes.select("bits"), within))
-    return classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    return classes.join(roots, classes["bits"] == roots["node"]).select("bits", "least", "root")
 
 
 def fingerprint_hex(bits: str = "bits"):
@@ -145,7 +150,9 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     marks = {"__null": own_id.isNull(), "__id": F.coalesce(own_id, F.lit(0)), "__mark": F.xxhash64(own_text), "__mark2": F.hash(own_text)}
     prints = cut(_prints(df.select(own_id.alias("doc_id"), own_text.alias("text"), *[m.alias(k) for k, m in marks.items()]), shingle))
     classes = cut(prints.groupBy("bits").agg(F.min(F.struct(*marks)).alias("least")))
-    stay = _rooted(classes, within).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    linked = cut(_rooted(classes, within))
+    alone = classes.join(linked.select("bits"), "bits", "left_anti").select("least.*")
+    stay = alone.unionByName(linked.groupBy("root").agg(F.min("least").alias("least")).select("least.*"))
     # repeated rows shrink within each slice before the shuffle; the join needs no other one
     rows = df.withColumns(marks).dropDuplicates(list(marks))
     return rows.join(stay, list(marks), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

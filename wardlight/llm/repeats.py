@@ -18,8 +18,9 @@ every suffix sent with its first ``span`` bytes; so the shards are cut by conten
 
 No step holds more than a slice, a shard, or one document; equal runs are never expanded into pairs.
 
-Cases.  Null texts are empty.  Texts shorter than ``span`` bytes stay whole.  Rows that repeat an id are judged as
-copies of one document and don't remove each other.  Null ids come last.  Very long texts are cut for step 1 only,
+Cases.  Null texts are empty.  Texts shorter than ``span`` bytes stay whole.  Rows that repeat an id and a text are
+copies of one document and don't remove each other; other texts of one id, null among the ids, are documents of
+their own, in the order of a hash.  Null ids come last.  Very long texts are cut for step 1 only,
 with an overlap; what that splits is settled in step 3.  Other columns of the input are ignored.
 """
 
@@ -175,16 +176,16 @@ def equal_windows(raw: np.ndarray, starts: np.ndarray, span: int = SPAN) -> np.n
     return np.cumsum(shared < span)[rank[starts]]
 
 
-def _owners(doc: np.ndarray, start: np.ndarray, key: list[np.ndarray]) -> np.ndarray:
-    """Which rows are the first of their key, by (doc, start)."""
-    order = np.lexsort((start, doc, *key))
+def _owners(doc: np.ndarray, row: np.ndarray, start: np.ndarray, key: list[np.ndarray]) -> np.ndarray:
+    """Which rows are the first of their key, by (doc, row, start); rows that aren't sorted by row yet are for null ids only."""
+    order = np.lexsort((start, row, doc, *key))
     new = np.zeros(len(doc), bool)
     new[:1] = True
     for k in key:
         new[1:] |= k[order][1:] != k[order][:-1]
     # rows at the very place of the first one are the same document, repeated
     head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-    same = (doc[order] == doc[order][head]) & (start[order] == start[order][head])
+    same = (doc[order] == doc[order][head]) & (row[order] == row[order][head]) & (start[order] == start[order][head])
     out = np.zeros(len(doc), bool)
     out[order] = same
     return out
@@ -223,7 +224,7 @@ def _scan(span: int):
                 shift = np.array([at for _, at in cuts[i:j]]) - np.concatenate([[0], ends[:-1]])
                 start = start + shift[owner]
                 d, r = doc[of[owner]], row[of[owner]]
-                first = _owners(d, start, [whole, gram])
+                first = _owners(d, r, start, [whole, gram])
                 yield _batch(_RUN, gram.view(np.int64), whole.view(np.int64), d, r, start << 9 | windows << 1 | first)
                 i = j
 
@@ -231,7 +232,7 @@ def _scan(span: int):
 
 
 def _stream(span: int):
-    """Runs sorted by (gram, whole, doc, place) to marks (kind 0) and runs that are left over (kind 1)."""
+    """Runs sorted by (gram, whole, doc, row, place) to marks (kind 0) and runs that are left over (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: tuple | None = None  # of the last run: gram, whole, its group's first doc and start
@@ -252,8 +253,9 @@ def _stream(span: int):
             new = new_gram | np.append(not goes_on or whole[0] != tail[1], whole[1:] != whole[:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(n), -1))
             first_doc = np.where(head >= 0, doc[head], tail[2] if goes_on else 0)
+            first_row = np.where(head >= 0, row[head], tail[4] if goes_on else 0)
             first_start = np.where(head >= 0, start[head], tail[3] if goes_on else 0)
-            mark = ~new & ((doc != first_doc) | (start != first_start))
+            mark = ~new & ((doc != first_doc) | (row != first_row) | (start != first_start))
             g = np.cumsum(new_gram)
             g -= g[0]
             groups = np.bincount(g, new).astype(int)
@@ -272,7 +274,7 @@ def _stream(span: int):
                 waiting = None
             elif len(own):
                 waiting = [x[own[:1]] for x in (gram, row, place)]
-            tail = (gram[-1], whole[-1], first_doc[-1], first_start[-1])
+            tail = (gram[-1], whole[-1], first_doc[-1], first_start[-1], first_row[-1])
 
     return run
 
@@ -291,7 +293,7 @@ def _shards(span: int):
         classes = equal_windows(text, at, span)
         d, r, s = (np.array(x, np.int64)[of] for x in (doc, row, start))
         s = s + within
-        first = _owners(d, s, [classes])
+        first = _owners(d, r, s, [classes])
         hidden = ~first
         yield _batch(_WINDOW, np.zeros(hidden.sum(), np.int8), np.zeros(hidden.sum(), np.int64), np.zeros(hidden.sum(), np.int64), d[hidden], r[hidden], s[hidden])
         open_ = first & np.array(salted, bool)[of]
@@ -322,7 +324,7 @@ _WINDOW = "kind byte, one long, two long, doc long, row long, start long"
 
 
 def _merge():
-    """Windows sorted by (one, two, doc, start): each is looked up by binary search among the distinct keys of its
+    """Windows sorted by (one, two, doc, row, start): each is looked up by binary search among the distinct keys of its
     batch; the first of a key stays, later ones are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,12 +336,12 @@ def _merge():
                 continue
             heads = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
             head = heads[np.searchsorted(heads, np.arange(n), side="right") - 1]
-            d, s = doc[head].copy(), start[head].copy()
+            d, r, s = doc[head].copy(), row[head].copy(), start[head].copy()
             if last is not None and (one[0], two[0]) == last[:2]:
-                d[head == 0], s[head == 0] = last[2], last[3]
-            mark = (doc != d) | (start != s)
+                d[head == 0], r[head == 0], s[head == 0] = last[2:]
+            mark = (doc != d) | (row != r) | (start != s)
             yield _batch(_WINDOW, kind[mark], one[mark], two[mark], doc[mark], row[mark], start[mark])
-            last = (one[-1], two[-1], d[-1], s[-1])
+            last = (one[-1], two[-1], d[-1], r[-1], s[-1])
 
     return run
 
@@ -365,7 +367,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their marks to what is kept."""
     for b in slices(batches, "text", SLICE):
         ids = b.column(0)
-        n, gone, kept, spans = [], [], [], []
+        n, gone, kept, spans, texts = [], [], [], [], []
         for text, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             raw = (text or "").encode()
             if marks:
@@ -383,17 +385,32 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 own = []
                 kept.append(raw)
+            texts.append(_whole_characters(raw, own))
             n.append(len(raw))
             gone.append(len(raw) - len(kept[-1]))
             spans.append([{"start": a, "end": z} for a, z in own])
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        made = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays([ids, *made, *b.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *b.schema.names[3:]])
+        made = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays([ids, *made, *b.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_text", *b.schema.names[3:]])
+
+
+def _whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans, and without the rest of any character that a span cuts in two."""
+    parts, done = [], 0
+    for a, z in spans:
+        while a > done and raw[a] & 0xC0 == 0x80:
+            a -= 1
+        while z < len(raw) and raw[z] & 0xC0 == 0x80:
+            z += 1
+        parts.append(raw[done:a])
+        done = z
+    return b"".join([*parts, raw[done:]]).decode()
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, others: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept), a row for each row of ``df``; kept is binary, as bytes are removed.
+    """(doc_id, n_bytes, n_removed, spans, kept, kept_text), a row for each row of ``df``.
 
+    kept is binary, as bytes are removed; kept_text lacks the rest of characters that were cut in two.
     ``span`` from 96 to 128.  With ``others`` a struct of that name holds the other columns of ``df``.
     """
     if not 96 <= span <= 128:
@@ -407,7 +424,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     scanned = docs.select(doc, "row", "text").mapInArrow(_scan(span), _RUN)
     # runs marked already meet nobody: they are dealt by their row, or those of a common passage would fill one task
     meets = F.when(F.col("place") % 2 == 1, F.col("gram")).otherwise(F.col("row"))
-    met = scanned.repartition(shuffled, meets).sortWithinPartitions("gram", "whole", "doc", "place").mapInArrow(_stream(span), _MET)
+    met = scanned.repartition(shuffled, meets).sortWithinPartitions("gram", "whole", "doc", "row", "place").mapInArrow(_stream(span), _MET)
     place = F.col("place")
     met = cut(met.select((place % 2).alias("kind"), "gram", "row", F.shiftright(place, 9).alias("start"), (F.shiftright(place, 1) % 256).cast("int").alias("windows")))
     left = met.where("kind = 1")
@@ -417,7 +434,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     salt = F.pmod(F.xxhash64("row", "start"), F.col("salts")).cast("int")
     dealt = fetched.select("gram", salt.alias("salt"), (F.col("salts") > 1).alias("salted"), "doc", "row", "start", "raw").repartition(shuffled, "gram", "salt").sortWithinPartitions("gram", "salt")
     settled = cut(dealt.mapInArrow(_shards(span), _WINDOW))
-    merged = settled.where("kind = 1").repartition(shuffled, "one", "two").sortWithinPartitions("one", "two", "doc", "start").mapInArrow(_merge(), _WINDOW)
+    merged = settled.where("kind = 1").repartition(shuffled, "one", "two").sortWithinPartitions("one", "two", "doc", "row", "start").mapInArrow(_merge(), _WINDOW)
     ones = settled.where("kind = 0").select("row", "start").unionByName(merged.select("row", "start"))
     marks = (
         met.where("kind = 0").select("row", "start", (F.col("windows") + (span - 1)).cast("long").alias("bytes"))
@@ -425,5 +442,5 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
         .distinct().groupBy("row").agg(F.collect_list(F.struct("start", "bytes")).alias("marks"))
     )
     judged = whole.join(marks, "row", "left").select("doc_id", "text", "marks", *(["others"] if others else []))
-    new = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    new = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, kept_text string")
     return judged.mapInArrow(_apply, T.StructType([*new.fields, *judged.schema.fields[3:]]))

@@ -1,12 +1,14 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 No piece of such a vocabulary holds the space symbol after another character, so a text is a sequence of units
-(space symbols, then other characters) that are encoded apart.  A slice of documents is cut into units, the
-distinct units are encoded together, and the documents' ids are gathered from them.  Symbols lie in one flat
-array; a round looks up the rank of every neighbouring pair, takes the least rank of each unit, merges its
-leftmost pair of that rank in all units at once, and compacts; units without a pair leave.  One merge a unit
-and round is what the library's queue does: best score first, the leftmost of equal ones.  Units of more than
-LONG symbols would need as many rounds, so they use a queue of their own.
+(space symbols, then other characters) that are encoded apart; so are the two sides of any two neighbouring characters
+that no piece has next to one another.  A slice of documents is cut into units, the distinct units are encoded
+together, and the documents' ids are gathered from them.  Symbols lie in one flat array; a round looks up the rank of
+every neighbouring pair, takes the least rank of each word, merges its pairs of that rank from the left in all words at
+once, and compacts; words without a pair leave, and rounds go on until no pair remains.  The library's queue merges
+one pair after another: best score first, the leftmost of equal ones.  Merging all of a word's pairs of one rank at
+once is the same as long as no pair with the piece they make ranks better than it does; the vocabulary's ranks where that
+doesn't hold are known, and of those only the leftmost pair of a word is merged in a round.
 
 Cases.  Null and empty texts have no piece: only the begin and end ids.  Characters outside the vocabulary become
 byte pieces.  Repeated rows are encoded alike.  The vocabulary's file is read on the driver only.
@@ -15,7 +17,6 @@ byte pieces.  Repeated rows are encoded alike.  The vocabulary's file is read on
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from .common import append_columns
 
 SPACE = "▁"
-LONG = 160
+#: Bytes of text that are encoded together; a longer text alone.
+SLICE = 2_000_000
 NONE = np.iinfo(np.int32).max
 #: Symbols of characters outside the vocabulary are numbered from here by code point.
 OUTSIDE = 1 << 20
@@ -90,11 +92,21 @@ class Codec:
             for b, _, i in row:
                 owner[draw[at] + b], made[draw[at] + b] = a, i
         self.owner, self.made = np.array(owner, np.int32), np.array(made, np.int32)
-        self.pair = {(a, b): (r, i) for a, row in rows.items() for b, r, i in row}
+        # ranks that can be merged at once: a pair with a piece of theirs never ranks as well
+        self.at_once = np.ones(len(order), bool)
+        for a, row in rows.items():
+            for b, r, _ in row:
+                for x in (a, b):
+                    if x < n and r <= rank[x]:
+                        self.at_once[rank[x]] = False
         self.of_char = np.arange(0x110000, dtype=np.int32) + OUTSIDE
         for p, i in symbol.items():
             if len(p) == 1:
                 self.of_char[ord(p)] = i
+        self.next_to = np.zeros(1 << 22, bool)
+        for i in normal:
+            c = self.of_char[np.frombuffer(v.pieces[i].encode("utf-32-le"), np.uint32)]
+            self.next_to[self._bigrams(c[:-1], c[1:])] = True
         self.char_of = {i: p for p, i in symbol.items() if i >= n}
         self.byte_id = [0] * 256
         for i in range(n):
@@ -106,63 +118,48 @@ class Codec:
         self.text_n = np.array([len(x) for x in text], np.int64)
         self.text_at = np.concatenate([[0], np.cumsum(self.text_n)[:-1]])
 
-    def queue(self, symbols: list[int]) -> list[int]:
-        """The symbols of one long unit after all merges."""
-        pair, after, before = self.pair, [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
-        heap = [(*p, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (p := pair.get((a, b)))]
-        heap = [(r, i, a, b, m) for r, m, i, a, b in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j], after[i] = m, -1, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (p := pair.get((symbols[x], symbols[y]))):
-                    heapq.heappush(heap, (p[0], x, symbols[x], symbols[y], p[1]))
-        return [s for s in symbols if s >= 0]
+    def _bigrams(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs of characters in a table; different pairs can share one."""
+        return ((left.astype(np.int64) * 0x9E3779B1 + right) * 0x85EBCA6B >> 9) & ((1 << 22) - 1)
 
     def merged(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat symbols of all units after all merges, and the unit of each."""
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         flat = self.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
         unit = np.repeat(np.arange(len(units), dtype=np.int32), lengths)
-        done_s, done_u = [], []
-        if (lengths > LONG).any():
-            ends = np.cumsum(lengths)
-            for k in np.flatnonzero(lengths > LONG).tolist():
-                found = self.queue(flat[ends[k] - lengths[k] : ends[k]].tolist())
-                done_s.append(np.array(found, np.int32))
-                done_u.append(np.full(len(found), k, np.int32))
-            short = lengths[unit] <= LONG
-            flat, unit = flat[short], unit[short]
+        if not len(flat):
+            return flat, unit
+        # the words that are merged apart, and the unit of each
+        new = np.append(True, (unit[1:] != unit[:-1]) | ~self.next_to[self._bigrams(flat[:-1], flat[1:])])
+        unit_of, word = unit[new], (np.cumsum(new) - 1).astype(np.int32)
+        done_s, done_w = [], []
         while len(flat):
             left = np.minimum(flat[:-1], self.size)
             place = self.shift[left] + np.minimum(flat[1:], self.size)
-            same = (self.owner[place] == left) & (unit[:-1] == unit[1:])
+            same = (self.owner[place] == left) & (word[:-1] == word[1:])
             rank = np.full(len(flat), NONE, np.int32)
             rank[:-1][same] = self.rank_of[self.made[place[same]]]
-            first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             sizes = np.diff(np.append(first, len(flat)))
             least = np.repeat(np.minimum.reduceat(rank, first), sizes)
             over = least == NONE
             if over.any():
                 done_s.append(flat[over])
-                done_u.append(unit[over])
+                done_w.append(word[over])
             hits = np.flatnonzero((rank == least) & ~over)
-            hits = hits[np.append(True, unit[hits[1:]] != unit[hits[:-1]])] if len(hits) else hits
+            if len(hits):
+                # of overlapping pairs every other one, from the left
+                k = np.arange(len(hits))
+                head = np.maximum.accumulate(np.where(np.append(True, hits[1:] != hits[:-1] + 1), k, 0))
+                leftmost = np.append(True, word[hits[1:]] != word[hits[:-1]])
+                hits = hits[leftmost | (self.at_once[rank[hits]] & ((k - head) % 2 == 0))]
             flat[hits] = self.made[place[hits]]
             stay = ~over
             stay[hits + 1] = False
-            flat, unit = flat[stay], unit[stay]
-        if not done_s:
-            return flat, unit
-        flat, unit = np.concatenate(done_s), np.concatenate(done_u)
-        order = np.argsort(unit, kind="stable")
-        return flat[order], unit[order]
+            flat, word = flat[stay], word[stay]
+        flat, word = np.concatenate(done_s), np.concatenate(done_w)
+        by = np.argsort(word, kind="stable")
+        return flat[by], unit_of[word[by]]
 
     def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all units, and the number of ids of each."""
@@ -275,7 +272,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", bound
             flat, at = full, at2
         return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))]
 
-    return append_columns(df, text, f"{ids} array<int>", work)
+    return append_columns(df, text, f"{ids} array<int>", work, SLICE)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -315,4 +312,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", with_text: bool = F
         made = [pa.array(np.diff(at) + 2, pa.int64()), pa.array(digests), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
         return made + [pa.array([x.decode() for x in decoded], pa.string())] * with_text
 
-    return append_columns(df, text, new, work)
+    return append_columns(df, text, new, work, SLICE)

@@ -51,13 +51,10 @@ def urlfilter() -> str:
     d, kinds = url.DAMPING, (("trust", "src", "dst"), ("distrust", "dst", "src"))
     edges = " UNION ALL ".join(f"SELECT '{k}' AS kind, {a} AS a, {b} AS b, {d} / count(*) OVER (PARTITION BY {a}) AS w FROM links" for k, a, b in kinds)
     starts = " UNION ALL ".join(f"SELECT '{k}' AS kind, host AS a, {1 - d} * {k} AS rank FROM seeds WHERE {k} > 0" for k, _, _ in kinds)
-    rounds = "".join(
-        f"r{i + 1} AS MATERIALIZED (SELECT kind, a, sum(rank) AS rank FROM (SELECT e.kind, e.b AS a, r.rank * e.w AS rank FROM r{i} r JOIN edges e USING (kind, a) UNION ALL SELECT * FROM r0) GROUP BY ALL),\n" for i in range(url.ROUNDS)
-    )
     host = f"translate(regexp_extract(coalesce({{}}, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}')"
     link = url.LINK.replace("'", "''")
     return rf"""
-WITH rules AS (SELECT * FROM (VALUES {values}) AS v(action, rule_host, rule_path)),
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES {values}) AS v(action, rule_host, rule_path)),
 p AS MATERIALIZED (SELECT page_id, {host.format("url")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 hp AS (SELECT DISTINCT host, path FROM p),
 best AS (SELECT host, path, arg_max(struct_pack(rule := rule_host || rule_path, action := action), length(rule_host) + length(rule_path)) AS x
@@ -69,7 +66,8 @@ raw AS (SELECT {host.format("url")} AS src, unnest(regexp_extract_all(coalesce(h
 links AS (SELECT DISTINCT src, translate(dst, '{UPPER}', '{UPPER.lower()}') AS dst FROM raw WHERE src <> '' AND src <> translate(dst, '{UPPER}', '{UPPER.lower()}')),
 edges AS MATERIALIZED ({edges}),
 r0 AS MATERIALIZED ({starts}),
-{rounds}ranks AS (SELECT a AS host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM r{url.ROUNDS} GROUP BY a),
+flow AS (SELECT 0 AS k, kind, a, rank FROM r0 UNION ALL SELECT k + 1, kind, e.b, sum(f.rank * e.w) FROM flow f JOIN edges e USING (kind, a) WHERE k < 150 GROUP BY k, kind, e.b),
+ranks AS (SELECT a AS host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM flow GROUP BY a),
 bad AS (SELECT host FROM ranks WHERE distrust >= {url.THRESHOLD} AND distrust > trust)
 SELECT page_id, judged.host, path, rule, coalesce(action, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged LEFT JOIN bad ON judged.host = bad.host"""
@@ -79,11 +77,11 @@ CHAT = r"""
 WITH t AS (SELECT conv_id, turn, role, coalesce(turn // 64, -1)::BIGINT AS block, replace(coalesce(text, ''), '<|', '< |') AS c FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 v AS (SELECT t.*, speaker, coalesce(role = speaker, false) AS own,
-    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || coalesce(role, 'unknown') END || chr(10) AS head,
+    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || translate(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10) || chr(13), '  ') END || chr(10) AS head,
     c || '<|im_end|>' || chr(10) AS body
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-x AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, block ORDER BY turn NULLS FIRST, role NULLS FIRST, c ROWS UNBOUNDED PRECEDING)::BIGINT AS till FROM v)
-SELECT conv_id, speaker, block, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, c) AS rendered,
+x AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY block, turn NULLS FIRST, role NULLS FIRST, c ROWS UNBOUNDED PRECEDING)::BIGINT AS till FROM v)
+SELECT conv_id, speaker, block, count(*)::BIGINT AS n_turns, min(till - length(head) - length(body))::BIGINT AS at, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, c) AS rendered,
   coalesce(string_agg((till - length(body)) || '-' || till, ',' ORDER BY till) FILTER (own), '') AS mask
 FROM x GROUP BY conv_id, speaker, block"""
 

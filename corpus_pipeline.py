@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm import decontaminate, langid, pieces, repeats, simhash
-from wardlight.llm.common import cut, table
+from wardlight.llm.common import store, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A prediction of less than this share of the likelihood is no language.
@@ -36,16 +36,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of a character that is cut in two nothing stays.
     """
     found = repeats.remove_repeats(docs.select(*COLUMNS), others=True)
-    text = F.when(F.col("n_removed") > 0, _decoded(F.col("kept"))).otherwise(F.col("kept").cast("string"))
-    found = found.where("n_removed = 0 or n_removed < n_bytes").select("doc_id", text.alias("text"), "others.lang", "others.source")
+    found = found.where("n_removed = 0 or n_removed < n_bytes").select("doc_id", F.col("kept_text").alias("text"), "others.lang", "others.source")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def _decoded(raw):
-    """UTF-8 without the bytes that are no whole character."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
-
-
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item (or a shorter item) go."""
     return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
@@ -74,5 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = store(docs)
     return docs

@@ -20,6 +20,7 @@ def line(n):
 
 BASE = line(60)
 TEXTS = [None, "", "   ", "\n\t", "one", "Under the MIT License", "under the mit license " * 3, "CC-BY-NC; Apache License, version 2", BASE, BASE, BASE + " tail", "head " + BASE, "漢字 かな 😀", "aé�ü" * 40 + "漢字" * 30, "é" + "漢字" * 40 + "� end", "a" * 400, "ab" * 300, line(300)]
+TEXTS += ["Copyright 2020 x\n" + licences.MIT, licences.APACHE[40:] + licences.BSD_2, licences.GPL.replace("free", "FREE") + " all rights " + licences.LGPL[:150], "license version 2 apache license version 2 0 the mit license"]
 TEXTS += [line(RNG.randint(1, 80)) for _ in range(30)] + [BASE.replace("beta", "BETA", 1)]
 
 
@@ -359,6 +360,14 @@ def test_licences(docs, empty):
         assert (rows[i].n_words, rows[i].base_places) == (len(w), places)
         assert set(rows[i].base_labels) <= set(rows[i].labels)
         assert (rows[i].score > 0) == bool(rows[i].labels)
+        best, names = 0.0, set()
+        for p in licences.TEMPLATES:
+            for k in range(len(w) - p.key_size + 1):
+                if tuple(w[k : k + p.key_size]) == p.key:
+                    share = sum(0 <= k - p.key_at + j < len(w) and w[k - p.key_at + j] == x for j, x in enumerate(p.words)) / len(p.words)
+                    if share >= licences.LEAST:
+                        best, names = max(best, share), names | {p.label}
+        assert rows[i].labels == sorted(names) and abs(rows[i].score - best) < 1e-12
     assert rows[7].base_labels == ["apache-2", "cc-by-nc"] and rows[5].score == 1.0
     assert licences.scan(empty).count() == 0
 

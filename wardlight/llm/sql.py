@@ -24,9 +24,9 @@ def licences() -> str:
     for k, t in enumerate(lic.TEMPLATES):
         if t.key_size == len(t.words):
             shares.append(f"CASE WHEN len(p{k}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS s{k}")
-        else:
-            hits = " + ".join(f"(CASE WHEN s - {t.key_at} + {i} >= 0 AND w[s - {t.key_at} + {i} + 1] = '{x}' THEN 1 ELSE 0 END)" for i, x in enumerate(t.words))
-            shares.append(f"coalesce(list_max(list_transform(p{k}, lambda s: ({hits})::DOUBLE / {len(t.words)}.0)), 0.0)::DOUBLE AS s{k}")
+            continue
+        hits = f"list_sum(list_transform(range({len(t.words)}), lambda i: CASE WHEN s - {t.key_at} + i >= 0 AND w[s - {t.key_at} + i + 1] = {lit(t.words)}[i + 1] THEN 1 ELSE 0 END))"
+        shares.append(f"coalesce(list_max(list_transform(p{k}, lambda s: {hits}::DOUBLE / {len(t.words)}.0)), 0.0)::DOUBLE AS s{k}")
     n = range(len(lic.TEMPLATES))
     base = [k for k in n if lic.TEMPLATES[k].base]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -92,6 +93,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000
             kept.append(batch.slice(start))
     if kept:
         yield joined()
+    kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that was used to the system: workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def append_columns(df: DataFrame, text: str, new: str, work: Callable[[pa.StringArray], list[pa.Array]], most: int = 8_000_000) -> DataFrame:

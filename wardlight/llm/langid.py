@@ -30,7 +30,7 @@ from .common import append_columns, cut, slices
 SPACE = "▁"
 OTHER = 1e-7
 #: Bytes of text that are scored together; a longer text alone.
-SLICE = 4_000_000
+SLICE = 2_000_000
 NOT_LETTERS = r"[^\pL\pM]+"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -1,7 +1,7 @@
 """Tiered dictionaries: phrases of a later tier are sought in what the earlier ones leave.
 
-A text is split into its distinct words once; a phrase is only sought in texts that have its first word, so most texts
-are decided by one overlap of two sets.
+A text is split once and its words are intersected with the first words of all phrases; a phrase is only sought in
+texts that have its first word, so most texts are decided by that one look.
 """
 
 from __future__ import annotations
@@ -21,21 +21,34 @@ def distinct_phrases(phrases: list[str]) -> list[str]:
     return list({p.lower(): p for p in reversed(phrases)}.values())[::-1]
 
 
-def tokens(text: Column) -> Column:
-    """The distinct words of a text, as far as phrases can begin with them."""
-    return F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))
+def keys(phrases: list[str]) -> list[str]:
+    """The words that one of must be in a text, lower-cased, for any of the phrases to be found."""
+    return list(dict.fromkeys(k for k in map(key_word, phrases) if k))
 
 
-def first_word(phrase: str) -> str:
-    return re.split("[^a-z0-9_]+", phrase.lower())[0]
+def key_word(phrase: str) -> str | None:
+    """The first word of a phrase; none for RTP, which digits may follow at once."""
+    return None if phrase.strip().upper() == "RTP" else next(w for w in re.split("[^a-z0-9_]+", phrase.lower()) if w)
 
 
-def hits(text: Column, phrases: list[str], words: Column) -> Column:
-    """The phrases found in the text, in the list's order.  ``words``: the text's tokens, or those of one it was cut from."""
+def key_words(text: Column, phrases: list[str]) -> Column:
+    """Those keys of the phrases that are among the text's words: one look at each word."""
+    return F.array_intersect(F.split(F.lower(text), "[^a-z0-9_]+"), F.array(*[F.lit(w) for w in keys(phrases)]))
+
+
+def may_have(text: Column, phrase: str, present: Column) -> Column:
+    key = key_word(phrase)
+    return F.array_contains(present, key) if key else F.lower(text).contains(phrase.strip().lower())
+
+
+def hits(text: Column, phrases: list[str], present: Column) -> Column:
+    """The phrases found in the text, in the list's order.  ``present``: key words of the text, or of one it was cut from."""
     own = distinct_phrases(phrases)
-    found = F.array_compact(F.array(*[F.when(F.array_contains(words, first_word(p)) & text.rlike(phrase_pattern(p)), F.lit(p)) for p in own]))
-    begins = F.array(*[F.lit(w) for w in dict.fromkeys(map(first_word, own))])
-    return F.when(F.arrays_overlap(words, begins), found).otherwise(F.array().cast(NONE))
+    found = F.array_compact(F.array(*[F.when(may_have(text, p, present) & text.rlike(phrase_pattern(p)), F.lit(p)) for p in own]))
+    any_of = F.arrays_overlap(present, F.array(*[F.lit(w) for w in keys(own)]))
+    for p in own:
+        any_of = any_of if key_word(p) else any_of | may_have(text, p, present)
+    return F.when(any_of, found).otherwise(F.array().cast(NONE))
 
 
 def masked(text: Column, found: Column, phrases: list[str]) -> Column:
@@ -44,22 +57,25 @@ def masked(text: Column, found: Column, phrases: list[str]) -> Column:
     return F.aggregate(found, text, lambda t, p: F.regexp_replace(t, F.element_at(patterns, p), F.lit(" ")))
 
 
-def blank_vetoes(text: Column, vetoes: list[str]) -> Column:
+def blank_vetoes(text: Column, vetoes: list[str], present: Column) -> Column:
     for v in vetoes:
-        text = F.regexp_replace(text, phrase_pattern(v), " ")
+        text = F.when(may_have(text, v, present), F.regexp_replace(text, phrase_pattern(v), " ")).otherwise(text)
     return text
 
 
 def tiers(df: DataFrame, text: str, definitive: list[str], strong: list[str], weak: list[str], vetoes: list[str], prefix: str) -> DataFrame:
     """``df`` with <prefix>_definitive, _strong and _weak (arrays of phrases).  Null and blank texts have none."""
-    plain, words = f"__{prefix}_text", f"__{prefix}_words"
-    df = df.withColumn(plain, blank_vetoes(F.coalesce(F.col(text), F.lit("")), vetoes))
-    df = df.withColumn(words, tokens(F.col(plain)))  # blanking phrases makes no new words
+    plain, present = f"__{prefix}_text", f"__{prefix}_present"
+    df = df.withColumn(plain, F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn(present, key_words(F.col(plain), [*definitive, *strong, *weak, *vetoes]))  # blanking makes no new words
+    some = F.size(present) > 0
+    for v in distinct_phrases(vetoes):
+        df = df.withColumn(plain, F.when(some, blank_vetoes(F.col(plain), [v], F.col(present))).otherwise(F.col(plain)))
     for tier, phrases in (("definitive", definitive), ("strong", strong)):
         name = f"{prefix}_{tier}"
-        df = df.withColumn(name, hits(F.col(plain), phrases, F.col(words)))
+        df = df.withColumn(name, hits(F.col(plain), phrases, F.col(present)))
         df = df.withColumn(plain, masked(F.col(plain), F.col(name), phrases))
-    return df.withColumn(f"{prefix}_weak", hits(F.col(plain), weak, F.col(words))).drop(plain, words)
+    return df.withColumn(f"{prefix}_weak", hits(F.col(plain), weak, F.col(present))).drop(plain, present)
 
 
 def gambling(df: DataFrame, text: str, prefix: str = "gambling") -> DataFrame:
@@ -72,7 +88,7 @@ def adult(df: DataFrame, text: str, prefix: str = "adult") -> DataFrame:
 
 def age_gate(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    return hits(text, fixed.ADULT_AGE_GATE, tokens(text))
+    return hits(text, fixed.ADULT_AGE_GATE, key_words(text, fixed.ADULT_AGE_GATE))
 
 
 def parking_clue(text: Column) -> Column:

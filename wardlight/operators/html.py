@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -40,15 +42,22 @@ brand_attributes: array<string>
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An open element of the values ends where an element of the key begins.
 CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+CLOSES |= {t: {t} for t in ("a", "button")}
 CLOSES |= {t: {"p"} for t in "p div ul ol table section article header footer nav form h1 h2 h3 h4 h5 h6 main aside blockquote pre".split()}
+#: An open paragraph ends at such an element wherever it is open, unless one of these is open inside it.
+KEEPS_P = frozenset("button table td th caption template object".split())
 SILENT = frozenset(("script", "style", "noscript"))
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "parent", "tag")
+    __slots__ = ("at", "attrs", "hidden", "kids", "last", "parent", "silent", "tag", "whole")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+        # what is inherited is settled here, once
+        self.hidden = (parent is not None and parent.hidden) or self.get("aria-hidden").lower() == "true"
+        self.silent = (parent is not None and parent.silent) or tag in SILENT
+        self.at, self.last, self.whole = -1, -1, None
 
     def get(self, name: str) -> str:
         return (self.attrs.get(name) or "").strip()
@@ -62,6 +71,9 @@ class Node:
             stack.extend(k for k in reversed(node.kids) if isinstance(k, Node))
 
     def text(self, without: frozenset[str] = SILENT) -> str:
+        if without is SILENT and self.whole and not self.silent:
+            text, low, high = self.whole
+            return text[0][low:high]
         out: list[str] = []
         stack: list[Node | str] = [self]
         while stack:
@@ -82,11 +94,22 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        self.open: Counter[str] = Counter()
+
+    def leave(self) -> None:
+        if self.at.parent is not None:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        ends = CLOSES.get(tag)
-        if ends and self.at.tag in ends:
-            self.at = self.at.parent or self.at
+        if tag == "form" and self.open["form"]:
+            return  # forms don't nest
+        ends = CLOSES.get(tag, ())
+        if self.at.tag in ends:
+            self.leave()
+        elif "p" in ends and self.open["p"] and not any(self.open[t] for t in KEEPS_P):
+            while self.open["p"]:
+                self.leave()
         own: dict[str, str] = {}
         for k, v in attrs:
             own.setdefault(k, v or "")
@@ -94,18 +117,18 @@ class _Builder(HTMLParser):
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag:
-            self.at = self.at.parent or self.at
+            self.leave()
 
     def handle_endtag(self, tag: str) -> None:
-        node: Node | None = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        if self.open[tag]:
+            while self.at.tag != tag:
+                self.leave()
+            self.leave()
 
     def handle_data(self, data: str) -> None:
         self.at.kids.append(data)
@@ -115,9 +138,35 @@ def parse(html: str | None) -> Node:
     b = _Builder()
     b.feed(html or "")
     b.close()
+    _lay_out(b.root)
     return b.root
 
 
+def _lay_out(root: Node) -> None:
+    """Numbers all nodes in order, with the last one inside each, and lays their text end to end, so that a node's is a
+    slice of it: however deep the nesting, each node is looked at once."""
+    parts: list[str] = []
+    whole: list[str] = []
+    n = size = 0
+    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    while stack:
+        node, done = stack.pop()
+        if isinstance(node, str):
+            parts.append(node)
+            size += len(node)
+        elif done:
+            node.last = n - 1
+            node.whole = (whole, node.whole, size)
+        else:
+            node.at, n, node.whole = n, n + 1, size
+            if node.tag == "br":
+                parts.append("\n")
+                size += 1
+            stack.append((node, True))
+            stack.extend((k, False) for k in reversed(node.kids) if isinstance(k, Node) or not node.silent)
+    whole.append("".join(parts))
+
+
 def squeeze(text: str | None) -> str:
     return " ".join((text or "").split())
 
@@ -132,14 +181,6 @@ def _distinct(texts: Iterator[str] | list[str], seen: set[str] | None = None, lo
     return out
 
 
-def aria_hidden(node: Node | None) -> bool:
-    while node is not None:
-        if node.get("aria-hidden").lower() == "true":
-            return True
-        node = node.parent
-    return False
-
-
 def dom_hidden(node: Node) -> bool:
     return "hidden" in node.attrs or node.get("aria-hidden").lower() == "true"
 
@@ -149,19 +190,16 @@ BODY = frozenset("main article nav header footer h1 h2 h3 h4 h5 h6 p li a button
 
 def body_segments(nodes: list[Node]) -> list[str]:
     """Text of body elements in order; none inside another that counts, none twice but for case."""
-    taken: set[int] = set()
+    done = -1  # the last node inside of one that counts
     seen: set[str] = set()
     out = []
     for n in nodes:
-        if not (n.tag in BODY or n.get("role") == "main") or aria_hidden(n) or dom_hidden(n):
+        if n.at <= done or not (n.tag in BODY or n.get("role") == "main") or n.hidden or dom_hidden(n):
             continue
-        up, inside = n.parent, False
-        while up is not None and not inside:
-            inside, up = id(up) in taken, up.parent
-        text = "" if inside else squeeze(n.text())
+        text = squeeze(n.text())
         if text and text.lower() not in seen:
             seen.add(text.lower())
-            taken.add(id(n))
+            done = n.last
             out.append(text)
     return out
 
@@ -200,7 +238,7 @@ def json_texts(data) -> list[str]:
 def text_extras(nodes: list[Node], data: list) -> dict[str, list[str]]:
     """Alternative texts and the like; one text counts once over all kinds."""
     seen: set[str] = set()
-    shown = [n for n in nodes if not aria_hidden(n)]
+    shown = [n for n in nodes if not n.hidden]
     open_ = [n for n in shown if not dom_hidden(n)]
     push = lambda texts: _distinct(list(texts), seen, lower=True)
     return {
@@ -340,7 +378,14 @@ LOOKS_LIKE_PRICE = re.compile(fixed.PRICE_LOOKALIKE, re.I)
 def price_pairs(nodes: list[Node]) -> list[dict]:
     """An original price with the sale price near it: up to three ancestors up, else a sibling that looks like a price."""
     out = []
-    sale_class = lambda n: any(c in fixed.SALE_PRICE_CLASSES for c in n.classes())
+    sales = [n for n in nodes if any(c in fixed.SALE_PRICE_CLASSES for c in n.classes())]
+    places = [n.at for n in sales]
+    priced: dict[int, list[str]] = {}  # different texts of children that look like a price, for each parent
+
+    def inside(up: Node) -> Node | None:
+        k = bisect_right(places, up.at)
+        return sales[k] if k < len(sales) and places[k] <= up.last else None
+
     for n in nodes:
         if not (n.tag in fixed.ORIGINAL_PRICE_TAGS or any(c in fixed.ORIGINAL_PRICE_CLASSES for c in n.classes())):
             continue
@@ -350,11 +395,13 @@ def price_pairs(nodes: list[Node]) -> list[dict]:
         for _ in range(3):
             if up is None or sale:
                 break
-            near = next((x for x in up.walk() if sale_class(x)), None)
+            near = inside(up)
             sale, up = near.text().strip() if near else "", up.parent
         if not sale and n.parent:
-            near = (k.text().strip() for k in n.parent.kids if isinstance(k, Node) and k is not n)
-            sale = next((t for t in near if t and t != original and LOOKS_LIKE_PRICE.search(t)), "")
+            if id(n.parent) not in priced:
+                kids = dict.fromkeys(k.text().strip() for k in n.parent.kids if isinstance(k, Node))
+                priced[id(n.parent)] = [t for t in kids if t and LOOKS_LIKE_PRICE.search(t)]
+            sale = next((t for t in priced[id(n.parent)] if t != original), "")
         if sale:
             out.append({"original": original, "sale": sale})
     return out

@@ -221,7 +221,7 @@ def parking_flag(records: Column) -> Column:
 
 def no_email(mx: Column, txt: Column) -> Column:
     """A null MX record, or an SPF record that allows no sender."""
-    null_mx = (F.size(mx) == 1) & (mx[0]["priority"] == 0) & mx[0]["exchange"].isin(".", "")
+    null_mx = (F.size(mx) == 1) & (F.get(mx, F.lit(0))["priority"] == 0) & F.get(mx, F.lit(0))["exchange"].isin(".", "")
     spf = F.exists(txt, lambda t: F.trim(F.regexp_replace(F.lower(F.array_join(t, "")), r"\s+", " ")) == "v=spf1 -all")
     return F.coalesce(null_mx, F.lit(False)) | F.coalesce(spf, F.lit(False))
 

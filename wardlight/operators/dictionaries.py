@@ -1,7 +1,7 @@
 """Tiered dictionaries: phrases of a later tier are sought in what the earlier ones leave.
 
-A text is split once and its words are intersected with the first words of all phrases; a phrase is only sought in
-texts that have its first word, so most texts are decided by that one look.
+A text is split once and its words are intersected with those of all phrases; a phrase is only sought in texts that
+have all its words, so most texts are decided by that one look.
 """
 
 from __future__ import annotations
@@ -21,24 +21,26 @@ def distinct_phrases(phrases: list[str]) -> list[str]:
     return list({p.lower(): p for p in reversed(phrases)}.values())[::-1]
 
 
-def keys(phrases: list[str]) -> list[str]:
-    """The words that one of must be in a text, lower-cased, for any of the phrases to be found."""
-    return list(dict.fromkeys(k for k in map(key_word, phrases) if k))
+def words_in(phrase: str) -> list[str]:
+    """The words of a phrase, lower-cased, that a text must have; none for RTP, which digits may follow at once."""
+    return [] if phrase.strip().upper() == "RTP" else [w for w in re.split("[^a-z0-9_]+", phrase.lower()) if w]
 
 
-def key_word(phrase: str) -> str | None:
-    """The first word of a phrase; none for RTP, which digits may follow at once."""
-    return None if phrase.strip().upper() == "RTP" else next(w for w in re.split("[^a-z0-9_]+", phrase.lower()) if w)
+def keys(phrases: list[str]) -> list[str]:
+    return list(dict.fromkeys(w for p in phrases for w in words_in(p)))
 
 
 def key_words(text: Column, phrases: list[str]) -> Column:
-    """Those keys of the phrases that are among the text's words: one look at each word."""
+    """Those words of the phrases that are among the text's words: one look at each word."""
     return F.array_intersect(F.split(F.lower(text), "[^a-z0-9_]+"), F.array(*[F.lit(w) for w in keys(phrases)]))
 
 
 def may_have(text: Column, phrase: str, present: Column) -> Column:
-    key = key_word(phrase)
-    return F.array_contains(present, key) if key else F.lower(text).contains(phrase.strip().lower())
+    words = words_in(phrase)
+    own = F.array_contains(present, words[0]) if words else F.lower(text).contains(phrase.strip().lower())
+    for w in words[1:]:
+        own = own & F.array_contains(present, w)
+    return own
 
 
 def hits(text: Column, phrases: list[str], present: Column) -> Column:
@@ -47,7 +49,7 @@ def hits(text: Column, phrases: list[str], present: Column) -> Column:
     found = F.array_compact(F.array(*[F.when(may_have(text, p, present) & text.rlike(phrase_pattern(p)), F.lit(p)) for p in own]))
     any_of = F.arrays_overlap(present, F.array(*[F.lit(w) for w in keys(own)]))
     for p in own:
-        any_of = any_of if key_word(p) else any_of | may_have(text, p, present)
+        any_of = any_of if words_in(p) else any_of | may_have(text, p, present)
     return F.when(any_of, found).otherwise(F.array().cast(NONE))
 
 

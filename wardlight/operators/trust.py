@@ -102,13 +102,16 @@ def is_bulletproof(isp: Column) -> Column:
 def gather(jobs: DataFrame, url: str = "url", **intel: DataFrame) -> DataFrame:
     """``jobs`` with structs tls, whois, dns and geo, null where the table has no row for the url's host.
 
-    Each table is keyed by host; of several rows of a host one is taken.  The host is what rows are shuffled by once.
+    Each table is keyed by host; of several rows of a host the least is taken.  The host is what rows are shuffled by
+    once; urls without one, however many, meet nobody.
     """
-    out = jobs.withColumn("host", F.coalesce(U.host(F.col(url)), F.lit("")))
+    every = jobs.withColumn("host", F.nullif(F.coalesce(U.host(F.col(url)), F.lit("")), F.lit("")))
+    out, bare = every.where("host is not null"), every.where("host is null")
     for name in ("tls", "whois", "dns", "geo"):
         t = intel.get(name)
         if t is None:
             raise ValueError(f"the table {name} is missing")
-        row = t.select("host", F.struct(*[F.col(c) for c in t.columns if c != "host"]).alias(name)).dropDuplicates(["host"])
+        row = t.select("host", F.struct(*[F.col(c) for c in t.columns if c != "host"]).alias(name)).groupBy("host").agg(F.min(name).alias(name))
         out = out.join(row, "host", "left")
-    return out
+        bare = bare.withColumn(name, F.lit(None).cast(row.schema[name].dataType))
+    return out.unionByName(bare).withColumn("host", F.coalesce("host", F.lit("")))

@@ -624,6 +624,64 @@ def classify_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", "path", "label", "confidence", join(F.col("classified_as")).alias("classified_as"), join(F.col("fired_rules")).alias("fired_rules"), join(X.names(F.col("signals"))).alias("signals"))
 
 
+#: What a page shows in each scenario of classify_joined, and the label that has to follow.
+SCENES = (
+    ("<p>Hello</p>", "Other_Site"),
+    ("<p>Our casino is open</p>", "Gambling"),
+    ("<p>free porn here</p>", "Pornography"),
+    ("<p>Nordbank</p><input type=password>", "Impersonation"),
+    ("<p>forbidden</p>", "Access_Denied"),
+    ("<p>Nordbank</p>", "Official"),
+    ("", "Unresolved"),
+    ("<p>This domain name is for sale</p>", "Parking_Site"),
+    ("<p>Nordbank support</p><a href='https://wa.me/4712'>chat with us</a>", "Scam"),
+    ("<p>Nordbank shop</p><div><del>$1,299.99</del><b class='sale-price'>$49.99</b></div><div><del>$899.00</del><b class='sale-price'>$29.99</b></div>", "Fake_Shop"),
+    ("<p>Nordbank careers: a fee is due</p>", "Recruitment_Fraud"),
+    ("<p>Hello</p>", "Unresolved"),
+)
+LEGAL = " <footer>&copy; 2024 us <a href='/privacy'>Privacy Policy</a></footer>"
+
+
+def scene_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """Jobs, one for each page and scenario in turn, and the tables that classify() joins to them."""
+    k = F.col("page_id") % len(SCENES)
+    shown, host = F.lit(""), F.concat(F.lit("h"), "page_id", F.lit(".example"))
+    for i, (html, _) in enumerate(SCENES):
+        shown = F.when(k == i, F.lit("<body>" + html + (LEGAL if i not in (6, 9) else " <footer>&copy; 2024 us</footer>" if i == 9 else "") + "</body>" if html else " ")).otherwise(shown)
+    host = F.when(k == 3, F.concat(F.lit("login."), host)).when(k == 5, "www.nordbank.example").otherwise(host)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("job_id"), k.alias("k"), host.alias("host"), shown.alias("html"))
+    url = F.concat(F.lit("https://"), "host", F.lit("/"))
+    jobs = pages.select("job_id", url.alias("url"), "html", F.when(F.col("k") == 11, "Nosuch").otherwise("Nordbank").alias("user_input"), F.when(F.col("k") == 4, 403).otherwise(200).alias("http_status"))
+    brand = spark.createDataFrame([("nordbank", ["Nordbank"], ["nordbank.example"], "Norway", 0)], "brand_id string, brand_names array<string>, official_domains array<string>, expected_country string, ord int")
+    none = F.array().cast("array<string>")
+    brand = brand.select(F.col("brand_id"), "brand_names", "official_domains", none.alias("registrant_organizations"), none.alias("tls_subject_organizations"), "expected_country", "ord")
+    hosts = pages.where("k <> 5")
+    no = F.lit(None).cast("string")
+    tls = hosts.select("host", F.lit(True).alias("uses_https"), F.lit(True).alias("authorized"), no.alias("error"), F.col("host").alias("subject_cn"), no.alias("subject_org"), F.lit("Let's Encrypt").alias("issuer_org"), F.lit("DV").alias("issuer_level"), F.lit("2030-01-01").alias("valid_to"), F.lit(False).alias("is_expired"), F.lit(False).alias("hostname_mismatch"))
+    young = F.col("k") == 8
+    whois = hosts.select("host", F.when(young, 45).otherwise(900).alias("age_in_days"), F.lit("2020-01-01T00:00:00Z").alias("created_date"), F.lit("2030-01-01T00:00:00Z").alias("expires_date"), F.lit("r").alias("registrar"), F.when(young, "Privacy Protect, LLC").otherwise("Acme Inc").alias("registrant_org"), F.array(F.lit("ok")).alias("domain_status"))
+    parked = F.col("k") == 7
+    dns = hosts.select("host", F.array(F.lit("8.8.8.8")).alias("a_records"), F.array().cast("array<struct<exchange: string, priority: int>>").alias("mx_records"), (~parked).alias("has_mx"), F.array(F.when(parked, "ns1.sedoparking.com").otherwise("ns1.host.example")).alias("ns_records"), F.array().cast("array<array<string>>").alias("txt_records"))
+    geo = hosts.where("false").select("host", no.alias("ip"), no.alias("country"), no.alias("city"), no.alias("isp"), no.alias("asn"), F.lit(False).alias("is_bulletproof"))
+    probes = pages.select(F.explode(F.array(F.concat(url, F.lit("privacy")), F.lit("https://wa.me/4712"))).alias("url")).distinct()
+    probes = probes.select("url", F.lit(200).alias("http_status"), F.lit("fine").alias("body_excerpt"), no.alias("error"))
+    axis = lambda i: F.array(*[F.lit(float(i == j)) for j in range(3)])
+    phrases = spark.createDataFrame([("recruitmentScore", 0, 0, "we are hiring", [1.0, 0.0, 0.0]), ("recruitmentFeeScore", 1, 0, "pay the fee", [0.0, 1.0, 0.0])], "category string, cat_ord int, phrase_ord int, phrase string, vector array<double>")
+    chunks = pages.select("job_id", F.posexplode(F.when(F.col("k") == 10, F.array(axis(0), axis(1))).otherwise(F.array(axis(2)))).alias("chunk_ord", "vector")).select("job_id", "chunk_ord", F.lit("paragraph").alias("zone"), F.lit("t").alias("text"), "vector")
+    logos = pages.select("job_id", (F.col("k") == 3).alias("detected"))
+    return jobs, {"brands": brand, "intel": {"tls": tls, "whois": whois, "dns": dns, "geo": geo}, "probes": probes, "chunk_vectors": chunks, "phrases": phrases, "logos": logos}
+
+
+@query(
+    "SELECT page_id AS job_id, CASE page_id % " + str(len(SCENES)) + " " + " ".join(f"WHEN {i} THEN '{label}'" for i, (_, label) in enumerate(SCENES)) + " END AS label, "
+    "CASE page_id % " + str(len(SCENES)) + " WHEN 4 THEN 'access_denied' WHEN 5 THEN 'trust' WHEN 6 THEN 'unresolved' WHEN 11 THEN 'unresolved' ELSE 'kbs' END AS path FROM pages"
+)
+def classify_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with brands, domain intelligence, probes, chunk vectors and logos joined on: a page of every label."""
+    jobs, tables = scene_tables(spark, sf_dir)
+    return C.classify(jobs, **tables).select("job_id", "label", "path")
+
+
 @query(
     f"""SELECT page_id AS job_id, CASE WHEN page_id % 11 = 0 THEN 'unresolved' WHEN page_id % 7 = 0 THEN 'access_denied' WHEN host = 'example.org' OR ends_with(host, '.example.org') THEN 'trust' WHEN page_id % 13 = 0 THEN 'unresolved' ELSE 'kbs' END AS path
 FROM (SELECT page_id, {HOST_SQL} AS host FROM pages)"""

@@ -6,6 +6,7 @@ well.  ``classify`` joins brands, domain intelligence and probes to the jobs fir
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,12 +132,20 @@ def signals(df: DataFrame) -> DataFrame:
     return out.withColumn("__raw", X.first_of_each(F.col("__raw"))).withColumn("signals", X.with_tls_risk(F.col("__raw"))).drop("__raw")
 
 
-def classify_rows(df: DataFrame) -> DataFrame:
-    """(job_id, path, label, confidence, classified_as, scores, fired_rules, signals), a row for each row of ``df``."""
+def parsed_jobs(df: DataFrame) -> DataFrame:
+    """``df`` with path and doc; pages that are decided already aren't parsed."""
     jobs = with_optional(df).withColumn("path", early_path())
-    # pages that are decided already aren't parsed
     jobs = jobs.withColumn("html", F.when(F.col("path") == "kbs", F.col("html")))
-    parsed = H.with_document(jobs, "html", "rendered_text")
+    return H.with_document(jobs, "html", "rendered_text")
+
+
+def classify_rows(df: DataFrame) -> DataFrame:
+    """(job_id, path, label, confidence, classified_as, scores, fired_rules, signals), a row for each row of ``df``."""
+    return label_parsed(parsed_jobs(df))
+
+
+def label_parsed(parsed: DataFrame) -> DataFrame:
+    """classify_rows() of jobs that went through parsed_jobs()."""
     own = signals(findings(parsed)).select("job_id", "path", "signals", F.col("f_gambling_strong").alias("__g"), F.col("f_adult_strong").alias("__a"))
     own = own.withColumn("signal_names", X.names(F.col("signals")))
     scored = scoring.score(own, many={"gambling_strong_many": F.size("__g") >= 2, "adult_strong_many": F.size("__a") >= 2})
@@ -160,11 +169,16 @@ def classify(
 ) -> DataFrame:
     """Jobs (job_id, url, html and optional columns) with everything that is known about them joined on, then classified.
 
+    job_id is unique.  Look-ups move narrow rows; the pages themselves are joined to what they gave once, by job_id, and
+    parsed once.
+
     brands: to resolve brand_id and user_input against.  intel: tables tls, whois, dns and geo by host.  probes: (url,
     http_status, body_excerpt, error).  chains: (page_url, hops, final_html, error).  chunk_vectors and phrases: for
     semantic facts.  logos: as find_logo gives them.  Tables that are missing leave their signals absent.
     """
-    rows = jobs
+    pages = [c for c in ("html", "rendered_text") if c in jobs.columns]
+    looked_up = any(x is not None for x in (brands, intel, chunk_vectors, logos, chains))
+    rows = jobs.drop(*pages) if looked_up else jobs
     if brands is not None:
         rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("brand_id", "user_input") if c not in rows.columns})
         rows = B.resolve(rows, brands).withColumn("brand_resolved", F.col("brand").isNotNull())
@@ -178,8 +192,11 @@ def classify(
     if chains is not None:
         domain = L.official_domain(F.col("url"), with_optional(rows)["brand.official_domains"]) if "brand" in rows.columns else L.official_domain(F.col("url"), F.lit(None).cast("array<string>"))
         rows = rows.join(chains.withColumnRenamed("page_url", "url"), "url", "left").withColumn("redirects", L.redirects(F.col("hops"), F.col("final_html"), F.col("url"), domain, F.col("error"))).drop("hops", "final_html", "error")
+    if looked_up:
+        rows = rows.join(jobs.select("job_id", *pages), "job_id")
     if probes is not None:
-        parsed = H.with_document(rows.select("job_id", "url", "html"), "html")
+        # read twice, parsed once; lost parts are parsed again
+        parsed = parsed_jobs(rows).persist(StorageLevel.DISK_ONLY)
         target = L.targets(F.col("doc.anchor_targets"), F.col("url"))
         pages = parsed.select(F.col("job_id").alias("page"), "url", L.trust_navigation(F.col("doc.trust_items")).alias("navigation"), target.alias("t"))
         urls = F.concat(F.col("t.urls"), F.array_repeat(F.lit(None).cast("string"), F.col("t.placeholders")))
@@ -187,7 +204,7 @@ def classify(
         keep = [c.split(":")[0].strip() for c in OPTIONAL["link_health"][7:-1].split(",")]
         state = state.select(F.col("page").alias("job_id"), F.struct(*keep).cast(OPTIONAL["link_health"]).alias("link_health"))
         status = L.trust_status(pages.drop("t"), probes).select(F.col("page").alias("job_id"), F.col("trust_status").alias("navigation_status"))
-        rows = rows.join(state, "job_id", "left").join(status, "job_id", "left")
+        return label_parsed(parsed.drop("link_health", "navigation_status").join(state, "job_id", "left").join(status, "job_id", "left"))
     return classify_rows(rows)
 
 

@@ -40,6 +40,9 @@ SPAN, GRAM = 100, 32
 SLICE, SEGMENT = 3_000_000, 2_000_000
 #: Runs of one minimiser in a shard, and bytes of a shard.
 SHARD_RUNS, SHARD_BYTES = 4000, 2_000_000
+#: Tasks over which the runs of a frequent minimiser are dealt when they are told their number of shards; there is one
+#: such minimiser in SHARD_RUNS runs at most, so these copies are few.
+PARTS = 64
 LAST = (1 << 63) - 1
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 S29, S32 = np.uint64(29), np.uint64(32)
@@ -428,8 +431,11 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     place = F.col("place")
     met = cut(met.select((place % 2).alias("kind"), "gram", "row", F.shiftright(place, 9).alias("start"), (F.shiftright(place, 1) % 256).cast("int").alias("windows")))
     left = met.where("kind = 1")
-    salts = left.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / SHARD_RUNS).cast("int").alias("salts"))
-    todo = left.join(salts, "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "salts", "start", "windows")).alias("todo"))
+    # only frequent minimisers have more than one shard; their runs meet that number in several parts
+    salts = left.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / SHARD_RUNS).cast("int").alias("salts")).where("salts > 1")
+    salts = salts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parted = left.withColumn("part", F.pmod(F.xxhash64("row", "start"), F.lit(PARTS)).cast("int")).join(salts, ["gram", "part"], "left")
+    todo = parted.groupBy("row").agg(F.collect_list(F.struct("gram", F.coalesce("salts", F.lit(1)).alias("salts"), "start", "windows")).alias("todo"))
     fetched = docs.select(doc, "row", "text").join(todo, "row").select("doc", "row", "text", "todo").mapInArrow(_bytes_of(span), "gram long, salts int, doc long, row long, start long, raw binary")
     salt = F.pmod(F.xxhash64("row", "start"), F.col("salts")).cast("int")
     dealt = fetched.select("gram", salt.alias("salt"), (F.col("salts") > 1).alias("salted"), "doc", "row", "start", "raw").repartition(shuffled, "gram", "salt").sortWithinPartitions("gram", "salt")

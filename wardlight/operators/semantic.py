@@ -5,6 +5,12 @@ Vectors are inputs.  The phrase table is a parameter: category, cat_ord, phrase_
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +31,8 @@ ZONE_ORDER = {
     "form_nearby_text": "formNearby",
 }
 CHUNK = "array<struct<text: string, zone: string>>"
+#: Rows of phrases that are broadcast together, and scores that a task holds at once.
+PHRASE_BLOCK, SCORES_AT_ONCE = 4096, 2_000_000
 
 
 def windows(text: Column, size: int = 8, step: int = 4) -> Column:
@@ -63,21 +71,80 @@ def match(chunk_vectors: DataFrame, phrases: DataFrame, threshold: float = fixed
     """For each job and category the best (phrase, score, chunk): the score is rounded to four places, then held against
     the threshold; of equal scores the earlier chunk, then the earlier phrase wins.
 
-    ``chunk_vectors``: job_id, chunk_ord, zone, text, vector.  ``phrases`` is a stated query set of bounded size: its
-    rows are packed into one array a category and broadcast, and each chunk meets each category once.
+    ``chunk_vectors``: job_id, chunk_ord, zone, text, vector.  ``phrases`` is a stated query set: blocks of some
+    ``PHRASE_BLOCK`` of its rows are broadcast one by one, and every chunk meets each block as a product of matrices.
+    Vectors that are null, or hold a null or a number that isn't finite, match nothing, nor do those of unequal length;
+    a vector of zeros has the score 0.  Without phrases nothing matches.
     """
-    rows = F.sort_array(F.collect_list(F.struct("phrase_ord", "phrase", F.transform("vector", lambda x: x.cast("double")).alias("vector"))))
-    packed = phrases.groupBy("category", "cat_ord").agg(rows.alias("rows"))
-    scored = chunk_vectors.join(F.broadcast(packed)).withColumn(
-        "hit",
-        F.array_max(F.transform("rows", lambda p: F.struct(F.round(cosine(F.col("vector"), p["vector"]), 4).alias("score"), (-p["phrase_ord"]).alias("back"), p["phrase"].alias("phrase")))),
-    )
-    kept = scored.where(F.col("hit.score") >= threshold)
-    best = F.max(F.struct(F.col("hit.score").alias("score"), (-F.col("chunk_ord")).alias("c"), F.col("hit.back").alias("p"), F.col("hit.phrase").alias("phrase"), F.col("text").alias("chunk"), F.col("zone").alias("zone")))
+    job = chunk_vectors.schema["job_id"].dataType.simpleString()
+    order = phrases.schema["cat_ord"].dataType.simpleString()
+    kept = reduce(DataFrame.unionAll, [_hits(chunk_vectors, block, threshold, job, order) for block in _blocks(phrases)])
+    best = F.max(F.struct(F.col("score"), (-F.col("chunk_ord")).alias("c"), (-F.col("phrase_ord")).alias("p"), F.col("phrase"), F.col("text").alias("chunk"), F.col("zone")))
     out = kept.groupBy("job_id", "category", "cat_ord").agg(best.alias("b"))
     return out.select("job_id", "category", "cat_ord", F.col("b.score").alias("score"), F.col("b.phrase").alias("phrase"), F.col("b.chunk").alias("chunk"), F.col("b.zone").alias("zone"))
 
 
+def _blocks(phrases: DataFrame) -> Iterator[pa.Table]:
+    rows = phrases.select("category", "cat_ord", "phrase_ord", "phrase", "vector")
+    first = rows.limit(PHRASE_BLOCK + 1).toArrow()
+    if first.num_rows <= PHRASE_BLOCK:
+        yield first
+        return
+    n = -(-rows.count() // (PHRASE_BLOCK // 2))
+    for k in range(n):
+        yield rows.where(F.pmod(F.xxhash64("category", "phrase_ord", "phrase"), F.lit(n)) == k).toArrow()
+
+
+def _matrices(vectors: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, vectors of length one or of zeros) for each length that a vector has."""
+    whole = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False)
+    values = whole.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == size)
+        m = values[starts[rows][:, None] + np.arange(size)]
+        sound = np.isfinite(m).all(1)
+        rows, m = rows[sound], m[sound]
+        norm = np.sqrt((m * m).sum(1, keepdims=True))
+        yield rows, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _hits(chunk_vectors: DataFrame, block: pa.Table, threshold: float, job: str, order: str) -> DataFrame:
+    """A row for each chunk and category of the block whose best phrase reaches the threshold."""
+    block = block.sort_by([("category", "ascending"), ("cat_ord", "ascending"), ("phrase_ord", "ascending"), ("phrase", "descending")])
+    sent = chunk_vectors.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = sent.value
+        groups = list(zip(library["category"].to_pylist(), library["cat_ord"].to_pylist(), strict=True))
+        sides = {m.shape[1]: (rows, m) for rows, m in _matrices(library["vector"])}
+        step = max(1, SCORES_AT_ONCE // max(1, library.num_rows))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                for own, m in _matrices(part.column("vector")):
+                    if m.shape[1] not in sides or not len(own):
+                        continue
+                    of, n = sides[m.shape[1]]
+                    scores = np.floor(m @ n.T * 1e4 + 0.5) / 1e4
+                    ends = [i for i in range(1, len(of) + 1) if i == len(of) or groups[of[i]] != groups[of[i - 1]]]
+                    for a, b in zip([0, *ends], ends, strict=False):
+                        best = scores[:, a:b].argmax(1)
+                        score = scores[np.arange(len(own)), a + best]
+                        on = score >= threshold
+                        if on.any():
+                            left = part.select(["job_id", "chunk_ord", "zone", "text"]).take(pa.array(own[on]))
+                            right = library.select(["category", "cat_ord", "phrase_ord", "phrase"]).take(pa.array(of[a + best[on]])).combine_chunks()
+                            columns = [*left.columns, *[c.chunk(0) for c in right.columns], pa.array(score[on])]
+                            yield pa.RecordBatch.from_arrays(columns, names=[*left.schema.names, *right.schema.names, "score"])
+
+    types = {f: d.schema[f].dataType.simpleString() for d, f in ((chunk_vectors, "chunk_ord"), (chunk_vectors, "zone"), (chunk_vectors, "text"))}
+    phrase_ord = {"int32": "int", "int64": "bigint", "int16": "smallint"}.get(str(block.schema.field("phrase_ord").type), "bigint")
+    schema = f"job_id {job}, chunk_ord {types['chunk_ord']}, zone {types['zone']}, text {types['text']}, category string, cat_ord {order}, phrase_ord {phrase_ord}, phrase string, score double"
+    return chunk_vectors.select("job_id", "chunk_ord", "zone", "text", "vector").mapInArrow(run, schema)
+
+
 def derive(matches: DataFrame) -> DataFrame:
     """(job_id, scores, facts): scores by concept, and the facts that they give, in the rules' order."""
     scores = matches.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "score"))).alias("scores"))

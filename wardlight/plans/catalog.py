@@ -418,18 +418,28 @@ def sliding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 PHRASE_CATEGORIES = ["accountVerificationScore", "credentialLoginScore", "gamblingScore", "parkingScore", "urgencyScore", "investmentScamScore", "shoppingScore", "paymentScore", "recruitmentScore", "feeCollectionScore"]
 
 
+PHRASE_GROUPS = 43
+
+
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings matched with the first 60 of them as phrases, their label as category."""
+    """All embeddings matched with a phrase library of up to 430 phrases: the labels are categories, and the vectors
+    of each label are summed in 43 groups."""
     e = table(spark, sf_dir, "embeddings")
+    cat, group = (F.col("label") % 10).alias("cat_ord"), (F.col("vec_id") % PHRASE_GROUPS).cast("int").alias("phrase_ord")
+    sums = e.where("label IS NOT NULL").select(cat, group, F.posexplode("embedding").alias("i", "x")).groupBy("cat_ord", "phrase_ord", "i").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    vector = F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+    library = sums.groupBy("cat_ord", "phrase_ord").agg(vector.alias("vector"))
     names = F.array(*[F.lit(c) for c in PHRASE_CATEGORIES])
-    phrases = e.where("vec_id < 60").select(F.get(names, F.col("label") % 10).alias("category"), (F.col("label") % 10).alias("cat_ord"), F.col("vec_id").cast("int").alias("phrase_ord"), F.col("vec_id").cast("string").alias("phrase"), F.col("embedding").alias("vector"))
+    phrases = library.select(F.get(names, F.col("cat_ord")).alias("category"), "cat_ord", "phrase_ord", F.col("phrase_ord").cast("string").alias("phrase"), "vector")
     chunks = e.select(F.floor(F.col("vec_id") / 8).alias("job_id"), (F.col("vec_id") % 8).cast("int").alias("chunk_ord"), F.lit("paragraph").alias("zone"), F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("vector"))
     return S.match(chunks, phrases, 0.3)
 
 
-_CATEGORY = "[" + ", ".join(f"'{c}'" for c in PHRASE_CATEGORIES) + "][(p.label % 10) + 1]"
-MATCH_SQL = f"""(WITH s AS (SELECT e.vec_id // 8 AS job_id, e.vec_id % 8 AS chunk_ord, e.vec_id AS c, {_CATEGORY} AS category, p.vec_id AS p, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 4) AS score
-  FROM embeddings e, embeddings p WHERE p.vec_id < 60), k AS (SELECT *, row_number() OVER (PARTITION BY job_id, category ORDER BY score DESC, chunk_ord, p) AS rn FROM s WHERE score >= 0.3)
+_CATEGORY = "[" + ", ".join(f"'{c}'" for c in PHRASE_CATEGORIES) + "][p.l + 1]"
+MATCH_SQL = f"""(WITH x AS (SELECT label % 10 AS l, vec_id % {PHRASE_GROUPS} AS g, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL),
+  q AS (SELECT l, g, i, sum(x) AS x FROM x GROUP BY l, g, i), p AS (SELECT l, g, list(x ORDER BY i) AS v FROM q GROUP BY l, g),
+  s AS (SELECT e.vec_id // 8 AS job_id, e.vec_id % 8 AS chunk_ord, e.vec_id AS c, {_CATEGORY} AS category, p.g AS p, round(list_cosine_similarity(e.embedding::DOUBLE[], p.v), 4) AS score
+  FROM embeddings e, p), k AS (SELECT *, row_number() OVER (PARTITION BY job_id, category ORDER BY score DESC, chunk_ord, p) AS rn FROM s WHERE score >= 0.3)
 SELECT job_id, category, score, p, c FROM k WHERE rn = 1)"""
 
 

@@ -64,9 +64,9 @@ def has_file_upload(html: Column) -> Column:
 
 
 ACTION_REASONS = {
-    "cross": "Cross-domain submission (data sent to external site)",
-    "ip": "Submits to a raw IP address instead of a domain",
-    "script": "Uses inline JavaScript execution in the action attribute",
+    "cross": "what is entered goes to another domain",
+    "ip": "what is entered goes to a bare IP address",
+    "script": "the action is a script",
 }
 
 

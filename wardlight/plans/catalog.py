@@ -245,14 +245,17 @@ def age_and_parking_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, n_nationkey, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_.])' || n_name || '([^A-Za-z0-9_.]|$)') AS hit
-FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' in FRANCE, at china.com or Japan.' ELSE ' myfrance' END AS text FROM documents), nation"""
+    """SELECT doc_id, n_nationkey
+FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' in FRANCE, at china.com or Japan.' ELSE ' myfrance' END AS text FROM documents), nation
+WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_.])' || n_name || '([^A-Za-z0-9_.]|$)')"""
 )
 def brand_tokens_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the brands that they name: the 25 nations, a list that doesn't grow, become patterns of the plan."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " in FRANCE, at china.com or Japan.").otherwise(" myfrance")).alias("text"))
-    names = F.broadcast(table(spark, sf_dir, "nation").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("brands")))  # a stated list of 25 brands
-    each = docs.join(names).select("doc_id", F.inline(F.transform("brands", lambda b: F.struct(b["n_nationkey"].alias("n_nationkey"), contains_brand(F.col("text"), b["n_name"]).alias("hit")))))
-    return each
+    brands = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    kind = brands.schema["n_nationkey"].dataType
+    named = F.array_compact(F.array(*[F.when(contains_brand(F.col("text"), b.n_name), F.lit(b.n_nationkey).cast(kind)) for b in brands.collect()]))
+    return docs.select("doc_id", F.explode(named).alias("n_nationkey"))
 
 
 # --- prices ----------------------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licences, pieces, quality, repeats, simhash, sketch, sql, urlfilter
+from . import chat, decontaminate, langid, licences, media, pieces, prefixes, quality, repeats, resample, simhash, sketch, sql, urlfilter
 from .common import table
 
 
@@ -92,7 +92,22 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-OPERATORS = (op1_licences, op2_urlfilter, op3_chat, op4_quality, op5_decontaminate, op6_pieces, op7_simhash, op8_sketch, op9_langid, op10_repeats)
+def op11_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.write(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("n_media").alias("media_bytes"), F.lower(F.hex("medium")).alias("media_sha256"), "feature")
+
+
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixes.trie(prefixes.shared_heads(prefixes.numbered(table(spark, sf_dir, "conversations"))))
+    return found.drop("place", "stop")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OPERATORS = (op1_licences, op2_urlfilter, op3_chat, op4_quality, op5_decontaminate, op6_pieces, op7_simhash, op8_sketch, op9_langid, op10_repeats, op11_media, op12_prefixes, op13_resample)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -100,4 +115,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licences": sql.licences(), "op2_urlfilter": sql.urlfilter(), "op3_chat": sql.CHAT, "op5_decontaminate": sql.DECONTAMINATE}
+    return {
+        "op1_licences": sql.licences(),
+        "op2_urlfilter": sql.urlfilter(),
+        "op3_chat": sql.CHAT,
+        "op5_decontaminate": sql.DECONTAMINATE,
+        "op11_media": sql.MEDIA,
+        "op12_prefixes": sql.TRIE,
+        "op13_resample": sql.resample(),
+    }

@@ -106,3 +106,65 @@ close AS (SELECT r, count(DISTINCT item) AS n_near FROM (SELECT r, item FROM nea
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r) LEFT JOIN close USING (r)"""
+
+
+#: The 256 steps of CRC-32 as a list, and the CRC-32 of a list of bytes; both to be used where ``steps`` is joined in.
+STEPS = "steps AS MATERIALIZED (SELECT list(c ORDER BY i) AS step FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i)))"
+
+
+def byte_list(blob: str) -> str:
+    return f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda x: ('0x' || x)::BIGINT)"
+
+
+def crc32(codes: str) -> str:
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+MEDIA = rf"""
+WITH {STEPS},
+t AS (SELECT doc_id, encode(coalesce(text, '')) AS content FROM documents),
+p AS (SELECT doc_id, octet_length(content) AS n, content || repeat('\xFF'::BLOB, greatest(1, (octet_length(content) + 575) // 576) * 576 - octet_length(content)) AS samples FROM t),
+m AS MATERIALIZED (SELECT *, octet_length(samples) AS size, encode('P5' || chr(10) || '576 ' || octet_length(samples) // 576 || chr(10) || '255' || chr(10)) || samples AS medium, {byte_list("samples")} AS code FROM p),
+f AS (SELECT *, list_sum(code)::BIGINT AS total, list_transform(range(64), lambda k: list_sum(code[k * (size // 64) + 1 : (k + 1) * (size // 64)])) AS runs FROM m),
+b AS (SELECT *, list_transform(runs, lambda r: CASE WHEN r * 64 > total THEN 1 ELSE 0 END) AS bit FROM f)
+SELECT doc_id, n::BIGINT AS n_bytes, size::BIGINT AS payload_bytes, sha256(samples) AS payload_sha256, {crc32("code[size - 31 : size]")}::BIGINT AS tail_crc32,
+  octet_length(medium)::BIGINT AS media_bytes, sha256(medium) AS media_sha256,
+  array_to_string(list_transform(range(16), lambda k: lower(hex(bit[4 * k + 1] * 8 + bit[4 * k + 2] * 4 + bit[4 * k + 3] * 2 + bit[4 * k + 4]))), '') || '-' || total // size AS feature
+FROM b, steps"""
+
+TRIE = rf"""
+WITH {STEPS},
+t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT c, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS said FROM t GROUP BY c),
+h AS (SELECT c, said, {crc32(byte_list("encode(c::VARCHAR)"))} % 4 AS h FROM own, steps),
+whole AS MATERIALIZED (SELECT h.c, coalesce(list_slice(b.said, 1, h), []) || list_slice(h.said, h + 1, len(h.said)) AS said FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20),
+members AS (SELECT c, said, d, list_slice(said, 1, d) AS node FROM (SELECT *, unnest(range(len(said) + 1)) AS d FROM whole)),
+nodes AS MATERIALIZED (SELECT node, d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(said) = d), '') AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(node[d].x, '[^\x20\x09-\x0D]+')) * (count(*) - 1) END AS saved FROM members GROUP BY node, d),
+children AS (SELECT list_slice(node, 1, d - 1) AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+kinds AS MATERIALIZED (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+above AS (SELECT list_slice(node, 1, k) AS node, sum((n_children = 0)::INT) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(d + 1)) AS k FROM kinds) GROUP BY 1)
+SELECT k.conv_id, k.d::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n::BIGINT AS n_convs, k.n_children::BIGINT AS n_children, above.leaves::BIGINT AS n_leaves, above.saved::BIGINT AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM kinds k JOIN above USING (node) LEFT JOIN nodes p ON k.d > 0 AND p.node = list_slice(k.node, 1, k.d - 1)"""
+
+
+def resample() -> str:
+    def features(table: str, row: str) -> str:
+        return f"SELECT {row} AS i, unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS f FROM (SELECT *, {words('text')} AS w FROM {table})"
+
+    return rf"""
+WITH {STEPS},
+docs AS MATERIALIZED (SELECT row_number() OVER () AS i, * FROM documents),
+df AS MATERIALIZED ({features("docs", "i")}), bf AS MATERIALIZED ({features("benchmark", "0")}),
+known AS MATERIALIZED (SELECT f, {crc32(byte_list("encode(f)"))} % 10000 AS bucket FROM (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM bf)), steps),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN known USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bf JOIN known USING (f) GROUP BY bucket),
+sums AS (SELECT (SELECT count(*) FROM df) AS all_s, (SELECT count(*) FROM bf) AS all_t),
+gain AS MATERIALIZED (SELECT b.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), sums),
+w AS (SELECT i, count(*) AS n, sum(gain) AS total FROM df JOIN known USING (f) JOIN gain USING (bucket) GROUP BY i),
+o AS (SELECT docs.i, doc_id, len({words("text")}) AS n_words, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+  ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM docs LEFT JOIN w USING (i)),
+z AS MATERIALIZED (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score FROM o),
+drawn AS (SELECT i, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS rank FROM z WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM drawn) // 100 THEN rank END::BIGINT AS rank
+FROM z LEFT JOIN drawn USING (i)"""

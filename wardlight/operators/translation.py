@@ -1,6 +1,6 @@
 """Page language, and packing of texts for a translator.
 
-The translator itself is a table: (source language, text, translated).
+The translator itself is a table: (lang, text, translated).
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.skew import look_up
 from .html import DOC
 from .semantic import ZONE_ORDER
 
@@ -106,16 +107,105 @@ def rebuild(doc: Column, flat: Column) -> Column:
     return F.struct(*[new.get(f.name, doc[f.name]).alias(f.name) for f in T._parse_datatype_string(DOC)])
 
 
+# --- what a translator answered --------------------------------------------------------------------------------------
+
+
+def text_key(lang: Column, text: Column) -> Column:
+    """What a text of a language is stored under: SHA-256 of both."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(lang, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))).cast("binary"), 256))
+
+
+def answer_store(answers: DataFrame) -> DataFrame:
+    """(key, translated), a row for each text of a language in ``answers`` (lang, text, translated).
+
+    Of several answers the smallest counts, null ones don't: a text without an answer has no row.
+    """
+    keyed = answers.where("translated is not null").select(text_key(F.col("lang"), F.col("text")).alias("key"), "translated")
+    return keyed.groupBy("key").agg(F.min("translated").alias("translated"))
+
+
+def page_packs(pages: DataFrame, page: str = "page", lang: str = "lang", texts: str = "texts") -> DataFrame:
+    """(page, lang, nth, pieces): each page's texts in packs; pages of no language to translate from have none."""
+    return pages.where(F.col(lang).isNotNull()).select(F.col(page).alias("page"), F.col(lang).alias("lang"), F.posexplode(batches(F.col(texts))).alias("nth", "pieces"))
+
+
+def _blank(text: Column) -> Column:
+    return F.trim(F.coalesce(text, F.lit(""))) == ""
+
+
+def question(pieces: Column) -> Column:
+    """What is asked for a pack first: its pieces between marks, a single piece as it is; null if all are blank."""
+    return F.when(F.exists(pieces, lambda t: ~_blank(t)), F.when(F.size(pieces) == 1, F.get(pieces, F.lit(0))).otherwise(pack(pieces)))
+
+
+def _first_pass(packs: DataFrame, store: DataFrame) -> DataFrame:
+    """``packs`` with translated (an array, null where the marks are lost or nothing was answered) and why (an array)."""
+    asked = packs.withColumn("__q", question(F.col("pieces"))).withColumn("__key", F.when(F.col("__q").isNotNull(), text_key(F.col("lang"), F.col("__q"))))
+    found = look_up(asked, store.withColumnRenamed("key", "__key").withColumnRenamed("translated", "__a"), "__key", F.struct("page", "nth"))
+    n, answer = F.size("pieces"), F.col("__a")
+    whole = F.when(F.col("__q").isNull(), F.col("pieces")).when(n == 1, F.array(F.coalesce(answer, F.get("pieces", F.lit(0))))).otherwise(F.when(answer.isNotNull(), unpack(answer, n)))
+    why = F.when(F.col("__q").isNull(), "blank").when(n > 1, "pack").when(answer.isNotNull(), "single").otherwise("kept")
+    return found.withColumn("translated", whole).withColumn("why", F.transform("pieces", lambda t: why)).drop("__q", "__key", "__a")
+
+
+def questions(packs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """(lang, text), each once: what to ask for ``packs``, or, once there are answers, the pieces of packs that failed.
+
+    The protocol has two passes: packs are asked whole; the pieces of those whose answer is missing or has lost a mark
+    are asked one by one.  A text that many packs have is asked once.
+    """
+    if answers is None:
+        asked = packs.select("lang", question(F.col("pieces")).alias("text")).where("text is not null")
+    else:
+        asked = _first_pass(packs, answer_store(answers)).where("translated is null").select("lang", F.explode("pieces").alias("text")).where(~_blank(F.col("text")))
+    return asked.distinct()
+
+
+def translate_packs(packs: DataFrame, answers: DataFrame) -> DataFrame:
+    """``packs`` (page, lang, nth, pieces) with translated and why, an array each, of as many texts as pieces.
+
+    ``answers``: (lang, text, translated), to what questions() asks in both passes.  why: "pack" for a text from a whole
+    pack, "single" for one that was asked by itself, "kept" for one without an answer, which stays, "blank" for a pack of
+    blanks or a blank among singles.
+    """
+    store = answer_store(answers)
+    first = _first_pass(packs, store)
+    failed = first.where("translated is null").select("page", "lang", "nth", F.posexplode("pieces").alias("pos", "piece"))
+    failed = failed.withColumn("key", F.when(~_blank(F.col("piece")), text_key(F.col("lang"), F.col("piece"))))
+    found = look_up(failed, store, "key", F.struct("page", "nth", "pos"))
+    why = F.when(_blank(F.col("piece")), "blank").when(F.col("translated").isNotNull(), "single").otherwise("kept")
+    each = F.struct("pos", "piece", F.coalesce("translated", "piece").alias("translated"), why.alias("why"))
+    second = found.groupBy("page", "lang", "nth").agg(F.sort_array(F.collect_list(each)).alias("x"))  # eight at most
+    of = lambda k: F.transform("x", lambda x: x[k]).alias(k)
+    second = second.select("page", "lang", "nth", F.transform("x", lambda x: x["piece"]).alias("pieces"), of("translated"), of("why"))
+    return first.where("translated is not null").select(second.columns).unionByName(second)
+
+
+def translate_texts(pages: DataFrame, answers: DataFrame, page: str = "page", lang: str = "lang", texts: str = "texts") -> DataFrame:
+    """``pages`` with translated: as many texts as they have, translated by packs; a text that was cut is joined again.
+
+    Pages of no language to translate from keep their texts.
+    """
+    packs = translate_packs(page_packs(pages, page, lang, texts), answers)
+    joined = packs.groupBy("page").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("nth", "translated"))), lambda x: x["translated"])).alias("__pieces"))
+    size = lambda t: F.greatest(F.ceil(F.length(safe_piece(t)) / SLICE).cast("int"), F.lit(1))
+    sizes = F.transform(texts, size)
+    ends = F.transform(sizes, lambda n, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, b: a + b))
+    whole = F.transform(F.arrays_zip(ends.alias("end"), sizes.alias("n")), lambda x: F.array_join(F.slice("__pieces", x["end"] - x["n"] + 1, x["n"]), ""))
+    out = pages.join(joined, F.col(page) == F.col("page") if page != "page" else "page", "left")
+    out = out.withColumn("translated", F.when(F.col("__pieces").isNotNull(), whole).otherwise(F.col(texts)))
+    return out.drop("__pieces") if page == "page" else out.drop("__pieces", "page")
+
+
 def translate(pages: DataFrame, table: DataFrame, page: str = "page", doc: str = "doc", lang: str = "source_lang") -> DataFrame:
     """``pages`` with their texts translated by ``table`` (lang, text, translated); what it lacks stays as it is.
 
-    Each distinct text of a language is looked up; the texts come back in place by their position.
+    Texts are looked up by a digest, those that very many pages have over several tasks; they come back by position.
     """
     each = pages.where(F.col(lang).isNotNull()).select(F.col(page).alias("__page"), F.col(lang).alias("lang"), F.posexplode(flatten_texts(F.col(doc))).alias("__pos", "__t"))
-    each = each.withColumn("text", F.col("__t.text"))
-    known = table.groupBy("lang", "text").agg(F.first("translated").alias("translated"))
-    found = each.join(known, ["lang", "text"], "left")
-    row = F.struct("__pos", F.struct(F.col("__t.kind").alias("kind"), F.col("__t.key").alias("key"), F.col("__t.pos").alias("pos"), F.coalesce("translated", "text").alias("text")).alias("x"))
+    each = each.withColumn("key", text_key(F.col("lang"), F.col("__t.text")))
+    found = look_up(each, answer_store(table), "key", F.struct("__page", "__pos"))
+    row = F.struct("__pos", F.struct(F.col("__t.kind").alias("kind"), F.col("__t.key").alias("key"), F.col("__t.pos").alias("pos"), F.coalesce("translated", "__t.text").alias("text")).alias("x"))
     flat = found.groupBy("__page").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["x"]).alias("__flat"))
     out = pages.join(flat, F.col(page) == F.col("__page"), "left")
     return out.withColumn(doc, F.when(F.col("__flat").isNotNull(), rebuild(F.col(doc), F.col("__flat"))).otherwise(F.col(doc))).drop("__page", "__flat")

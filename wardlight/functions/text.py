@@ -28,9 +28,14 @@ def phrase_pattern(phrase: str) -> str:
     """A phrase as a case-insensitive pattern: bounded by non-words, any white space between its words."""
     phrase = phrase.strip()
     if phrase.upper() == "RTP":
-        return f"(?i){NOT_AFTER_WORD}RTP(?:[{BLANKS}]*%(?=[A-Za-z0-9_])|[{BLANKS}]*\\d{NOT_BEFORE_WORD}|{NOT_BEFORE_WORD})"
+        return f"(?i){_begins('RTP')}(?:[{BLANKS}]*%(?=[A-Za-z0-9_])|[{BLANKS}]*\\d{NOT_BEFORE_WORD}|{NOT_BEFORE_WORD})"
     body = f"[{BLANKS}]+".join(escape(p) for p in phrase.split())
-    return f"(?i){NOT_AFTER_WORD}{body}{'' if phrase.endswith('+') else NOT_BEFORE_WORD}"
+    return f"(?i){_begins(body)}{'' if phrase.endswith('+') else NOT_BEFORE_WORD}"
+
+
+def _begins(body: str) -> str:
+    """The pattern, not after a word; its first character is looked at before what is before it, as that seldom fits."""
+    return f"{body[0]}(?<![A-Za-z0-9_]{body[0]}){body[1:]}" if body[:1].isalnum() else NOT_AFTER_WORD + body
 
 
 def contains_brand(text: Column, brand: Column | str) -> Column:

@@ -1,20 +1,22 @@
 """Tiered dictionaries: phrases of a later tier are sought in what the earlier ones leave.
 
-A text is split once and its words are intersected with those of all phrases; a phrase is only sought in texts that
-have all its words, so most texts are decided by that one look.
+A text is split into words once, and these are intersected with the words of all phrases, which decides most texts.  A
+phrase's pattern is only tried on texts that have all its words, and have them in a row.  The phrases are one constant
+array, whatever their number.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import phrase_pattern
+from ..functions.text import bind, phrase_pattern
 
-NONE = "array<string>"
+PHRASE = "array<struct<nth: int, phrase: string, words: array<string>, row: string, pattern: string>>"
 
 
 def distinct_phrases(phrases: list[str]) -> list[str]:
@@ -26,58 +28,72 @@ def words_in(phrase: str) -> list[str]:
     return [] if phrase.strip().upper() == "RTP" else [w for w in re.split("[^a-z0-9_]+", phrase.lower()) if w]
 
 
-def keys(phrases: list[str]) -> list[str]:
-    return list(dict.fromkeys(w for p in phrases for w in words_in(p)))
+def listed(phrases: list[str], text: Column, present: Column) -> Column:
+    """Those distinct phrases whose first word is present: a constant map of first words gives them.
 
+    A phrase without words of its own is there if the text contains it in any way.
+    """
+    by_word: dict[str, list[dict]] = {}
+    for nth, p in enumerate(distinct_phrases(phrases)):
+        words = words_in(p)
+        by_word.setdefault(words[0] if words else "", []).append({"nth": nth, "phrase": p, "words": words, "row": f" {' '.join(words)} " if words else " ", "pattern": phrase_pattern(p)})
+    known, none = F.from_json(F.lit(json.dumps(by_word)), f"map<string, {PHRASE}>"), F.array().cast(PHRASE)
+    found = F.flatten(F.transform(present, lambda w: F.coalesce(F.try_element_at(known, w), none)))
+    for p in by_word.get("", []):
+        own = F.filter(F.try_element_at(known, F.lit("")), lambda x: x["phrase"] == p["phrase"])  # noqa: B023
+        found = F.concat(found, F.when(F.lower(text).contains(p["phrase"].strip().lower()), own).otherwise(none))
+    return found
 
-def key_words(text: Column, phrases: list[str]) -> Column:
-    """Those words of the phrases that are among the text's words: one look at each word."""
-    return F.array_intersect(F.split(F.lower(text), "[^a-z0-9_]+"), F.array(*[F.lit(w) for w in keys(phrases)]))
 
+def prepared(text: Column, phrases: list[str]) -> Column:
+    """Struct (text, present, row) of a text: those words of the phrases that it has, and all its words in a row."""
+    known = F.split(F.lit(" ".join(sorted({w for p in phrases for w in words_in(p)}))), " ")
+    words = F.split(F.lower(text), "[^a-z0-9_]+")
+    return bind(words, lambda w: F.struct(text.alias("text"), F.array_intersect(w, known).alias("present"), in_a_row(w).alias("row")))
 
-def may_have(text: Column, phrase: str, present: Column) -> Column:
-    words = words_in(phrase)
-    own = F.array_contains(present, words[0]) if words else F.lower(text).contains(phrase.strip().lower())
-    for w in words[1:]:
-        own = own & F.array_contains(present, w)
-    return own
 
+def in_a_row(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
-def hits(text: Column, phrases: list[str], present: Column) -> Column:
-    """The phrases found in the text, in the list's order.  ``present``: key words of the text, or of one it was cut from."""
-    own = distinct_phrases(phrases)
-    found = F.array_compact(F.array(*[F.when(may_have(text, p, present) & text.rlike(phrase_pattern(p)), F.lit(p)) for p in own]))
-    any_of = F.arrays_overlap(present, F.array(*[F.lit(w) for w in keys(own)]))
-    for p in own:
-        any_of = any_of if words_in(p) else any_of | may_have(text, p, present)
-    return F.when(any_of, found).otherwise(F.array().cast(NONE))
 
+def hits(state: Column, phrases: list[str]) -> Column:
+    """The phrases found in a prepared text, in the list's order; those whose words don't follow one another aren't tried."""
+    found = F.filter(listed(phrases, state["text"], state["present"]), lambda p: F.contains(state["row"], p["row"]) & F.regexp_like(state["text"], p["pattern"]))
+    return F.sort_array(found)
 
-def masked(text: Column, found: Column, phrases: list[str]) -> Column:
-    """The text with the found phrases blanked, one after the other."""
-    patterns = F.create_map(*[x for p in distinct_phrases(phrases) for x in (F.lit(p), F.lit(phrase_pattern(p)))])
-    return F.aggregate(found, text, lambda t, p: F.regexp_replace(t, F.element_at(patterns, p), F.lit(" ")))
 
+def masked(state: Column, found: Column) -> Column:
+    """The prepared text with the found phrases blanked, one after the other; its words are put in a row again."""
+    blanked = F.aggregate(found, state["text"], lambda t, p: F.regexp_replace(t, p["pattern"], F.lit(" ")))
+    anew = bind(blanked, lambda t: F.struct(t.alias("text"), state["present"].alias("present"), in_a_row(F.split(F.lower(t), "[^a-z0-9_]+")).alias("row")))  # blanking makes no new words
+    return F.when(F.size(found) > 0, anew).otherwise(state)
 
-def blank_vetoes(text: Column, vetoes: list[str], present: Column) -> Column:
-    for v in vetoes:
-        text = F.when(may_have(text, v, present), F.regexp_replace(text, phrase_pattern(v), " ")).otherwise(text)
-    return text
+
+def without(state: Column, vetoes: list[str]) -> Column:
+    """The prepared text without the vetoes; one of them can come about by blanking another, so words alone decide."""
+    return masked(state, F.sort_array(F.filter(listed(vetoes, state["text"], state["present"]), lambda p: F.size(F.array_except(p["words"], state["present"])) == 0)))
+
+
+def names(found: Column) -> Column:
+    return F.transform(found, lambda p: p["phrase"])
 
 
 def tiers(df: DataFrame, text: str, definitive: list[str], strong: list[str], weak: list[str], vetoes: list[str], prefix: str) -> DataFrame:
     """``df`` with <prefix>_definitive, _strong and _weak (arrays of phrases).  Null and blank texts have none."""
-    plain, present = f"__{prefix}_text", f"__{prefix}_present"
-    df = df.withColumn(plain, F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn(present, key_words(F.col(plain), [*definitive, *strong, *weak, *vetoes]))  # blanking makes no new words
-    some = F.size(present) > 0
-    for v in distinct_phrases(vetoes):
-        df = df.withColumn(plain, F.when(some, blank_vetoes(F.col(plain), [v], F.col(present))).otherwise(F.col(plain)))
-    for tier, phrases in (("definitive", definitive), ("strong", strong)):
-        name = f"{prefix}_{tier}"
-        df = df.withColumn(name, hits(F.col(plain), phrases, F.col(present)))
-        df = df.withColumn(plain, masked(F.col(plain), F.col(name), phrases))
-    return df.withColumn(f"{prefix}_weak", hits(F.col(plain), weak, F.col(present))).drop(plain, present)
+    given = prepared(F.coalesce(F.col(text), F.lit("")), [*definitive, *strong, *weak, *vetoes])
+
+    def first(state: Column) -> Column:
+        return F.struct(state.alias("state"), hits(state, definitive).alias("definitive"))
+
+    def second(x: Column) -> Column:
+        return bind(masked(x["state"], x["definitive"]), lambda state: F.struct(state.alias("state"), x["definitive"].alias("definitive"), hits(state, strong).alias("strong")))
+
+    def third(x: Column) -> Column:
+        return bind(masked(x["state"], x["strong"]), lambda state: F.struct(names(x["definitive"]).alias("definitive"), names(x["strong"]).alias("strong"), names(hits(state, weak)).alias("weak")))
+
+    cleared = bind(given, lambda state: without(state, vetoes))
+    out = df.withColumn(f"__{prefix}", bind(bind(bind(cleared, first), second), third))
+    return out.withColumns({f"{prefix}_{t}": F.col(f"__{prefix}.{t}") for t in ("definitive", "strong", "weak")}).drop(f"__{prefix}")
 
 
 def gambling(df: DataFrame, text: str, prefix: str = "gambling") -> DataFrame:
@@ -89,8 +105,7 @@ def adult(df: DataFrame, text: str, prefix: str = "adult") -> DataFrame:
 
 
 def age_gate(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return hits(text, fixed.ADULT_AGE_GATE, key_words(text, fixed.ADULT_AGE_GATE))
+    return bind(prepared(F.coalesce(text, F.lit("")), fixed.ADULT_AGE_GATE), lambda state: names(hits(state, fixed.ADULT_AGE_GATE)))
 
 
 def parking_clue(text: Column) -> Column:

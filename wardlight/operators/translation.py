@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.skew import look_up
 from .html import DOC
-from .semantic import ZONE_ORDER
+from .semantic import ZONE_ORDER, units
 
 # Languages that the translator takes.
 SUPPORTED = "zh zh-Hant en ja ko de fr es it pt ru th vi ar cs da fi hr hu id ms nb nl pl ro sv".split()
@@ -211,6 +211,24 @@ def translate(pages: DataFrame, table: DataFrame, page: str = "page", doc: str =
     return out.withColumn(doc, F.when(F.col("__flat").isNotNull(), rebuild(F.col(doc), F.col("__flat"))).otherwise(F.col(doc))).drop("__page", "__flat")
 
 
+def translated_units(pages: DataFrame, answers: DataFrame, job_id: str = "job_id", html: str = "html", doc: str = "doc") -> DataFrame:
+    """(job_id, at, text): translations of the texts of parsed pages that are cut into chunks, where they are known.
+
+    Pages in English or in no language to translate from have none.  A text of more than SLICE characters is looked up in
+    slices.  A text that a million pages have is one row of ``answers`` (lang, text, translated).
+    """
+    lang = source_language(html_lang(F.col(html)))
+    own = pages.select(F.col(job_id).alias("job_id"), lang.alias("lang"), F.explode(units(F.col(doc))).alias("u")).where("lang IS NOT NULL")
+    text = safe_piece(F.col("u.text"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(SLICE))
+    cut = own.select("job_id", "lang", F.col("u.at").alias("at"), F.size(starts).alias("n"), F.posexplode(F.transform(starts, lambda i: F.substring(text, i, F.lit(SLICE)))).alias("nth", "piece"))
+    cut = cut.withColumn("key", F.when(~_blank(F.col("piece")), text_key(F.col("lang"), F.col("piece"))))
+    found = look_up(cut, answer_store(answers), "key", F.struct("job_id", "at", "nth"))
+    one = found.where("n = 1 AND translated IS NOT NULL").select("job_id", "at", F.col("translated").alias("text"))
+    many = found.where("n > 1").groupBy("job_id", "at").agg(F.sort_array(F.collect_list(F.struct("nth", F.coalesce("translated", "piece").alias("t")))).alias("x"))
+    return one.unionByName(many.select("job_id", "at", F.array_join(F.transform("x", lambda x: x["t"]), "").alias("text")))
+
+
 def reason(lang: Column, source: Column, n_texts: Column, changed: Column, failed: Column) -> Column:
     """Why a page was translated or not."""
     english = F.coalesce(lang, F.lit("")).rlike("^en(?:-|$)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import translation as T
+from . import classify as C
 from .catalog import SQL, join, query, table
 
 # --- translation -----------------------------------------------------------------------------------------------------
@@ -79,3 +80,57 @@ def translated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = sentences(spark, sf_dir)
     found = T.translate_texts(pages, two_passes(pages)[1])
     return found.select(F.col("page").alias("conv_id"), join(F.col("translated"), "|").alias("translated"))
+
+
+# --- whole pages with translations, chunks and images ----------------------------------------------------------------
+
+BRAND = "brand_id string, brand_names array<string>, official_domains array<string>, registrant_organizations array<string>, tls_subject_organizations array<string>, expected_country string, ord int"
+#: What is added to a page, and its label: in a page that is translated, and in one that isn't.
+CONTENTS = (
+    ("", "Other_Site", "Other_Site"),
+    ("<p>Nordbank sucht Personal, eine Gebuehr ist zu zahlen</p>", "Recruitment_Fraud", "Other_Site"),
+    ("<p>Nordbank</p><p>verify your account at once</p><form action='https://collect.example/x'><input name='card-number'><input type=password name=p autocomplete=off></form>", "Phishing", "Phishing"),
+    ("<p>Nordbank</p><img src='/img/nordbank-mark.png' alt='Nordbank'><input type=password name=p>", "Impersonation", "Impersonation"),
+    ("<p>Our casino is open</p>", "Gambling", "Gambling"),
+)
+HIRING = "Nordbank is hiring, a fee has to be paid"
+
+
+def content_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """The pages with something added in turn, and what they are looked up in."""
+    k = F.col("page_id") % len(CONTENTS)
+    added = F.lit("")
+    for i, (html, _, _) in enumerate(CONTENTS):
+        added = F.when(k == i, F.lit(html)).otherwise(added)
+    url = F.concat(F.lit("https://"), F.when(k == 3, "nordbank-login.h").otherwise("h"), F.col("page_id").cast("string"), F.lit(".example/"))
+    whole = F.regexp_replace("html", "(?is)</body>.*", "")
+    jobs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("job_id"), url.alias("url"), F.concat(whole, added, F.lit("</body></html>")).alias("html"), F.lit("Nordbank").alias("user_input"))
+    none = F.array().cast("array<string>")
+    brands = spark.createDataFrame([("nordbank", ["Nordbank"], ["nordbank.example"], "Norway", 0)], "brand_id string, brand_names array<string>, official_domains array<string>, expected_country string, ord int")
+    brands = brands.select("brand_id", "brand_names", "official_domains", none.alias("registrant_organizations"), none.alias("tls_subject_organizations"), "expected_country", "ord")
+    axis = lambda *on: [1.0 if i in on else 0.0 for i in range(4)]
+    phrases = spark.createDataFrame(
+        [("recruitmentScore", 0, 0, "we are hiring", axis(0)), ("recruitmentFeeScore", 1, 0, "pay the fee", axis(1)), ("accountVerificationScore", 2, 0, "verify your account", axis(2)), ("urgencyScore", 3, 0, "at once", axis(3))],
+        "category string, cat_ord int, phrase_ord int, phrase string, vector array<double>",
+    )
+    german = CONTENTS[1][0].removeprefix("<p>").removesuffix("</p>")
+    translations = spark.createDataFrame([(lang, german, HIRING) for lang in ("de", "fr", "es")] + [("de", "unused", "nothing")], "lang string, text string, translated string")
+    first, last = " ".join(HIRING.split()[:8]), " ".join(HIRING.split()[4:])
+    vectors = spark.createDataFrame([(first, axis(0)), (last, axis(1)), ("verify your account at once", axis(2, 3)), (german, [0.0] * 4)], "text string, vector array<double>")
+    logo_vectors = spark.createDataFrame([("nordbank", axis(0, 1))], "brand_id string, logo_vector array<double>")
+    image_vectors = jobs.select(F.concat("url", F.lit("img/nordbank-mark.png")).alias("url"), F.array(*[F.lit(x) for x in axis(0, 1)]).alias("vector"))
+    return jobs, {"brands": brands, "phrases": phrases, "translations": translations, "vectors": vectors, "logo_vectors": logo_vectors, "image_vectors": image_vectors}
+
+
+_LANG_SQL = "lower(regexp_extract(html, '(?i)<html\\b[^>]*\\blang\\s*=\\s*[\"'']?\\s*([a-zA-Z]+)', 1)) IN ('de', 'fr', 'es')"
+
+
+@query(
+    f"SELECT page_id AS job_id, CASE page_id % {len(CONTENTS)} "
+    + " ".join(f"WHEN {i} THEN CASE WHEN {_LANG_SQL} THEN '{a}' ELSE '{b}' END" for i, (_, a, b) in enumerate(CONTENTS))
+    + " END AS label FROM pages"
+)
+def classify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages: translated where they aren't in English, cut into chunks, matched, and their images held against a logo."""
+    jobs, tables = content_tables(spark, sf_dir)
+    return C.classify(jobs, **tables).select("job_id", "label")

@@ -6,12 +6,12 @@ well.  ``classify`` joins brands, domain intelligence and probes to the jobs fir
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, prices
 from ..functions import url as U
+from ..functions.skew import look_up
 from ..functions.text import contains_brand, strip_tags
 from ..operators import brands as B
 from ..operators import detectors as D
@@ -19,7 +19,8 @@ from ..operators import dictionaries as words
 from ..operators import facts as X
 from ..operators import html as H
 from ..operators import links as L
-from ..operators import semantic, trust
+from ..operators import semantic, translation, trust
+from ..sources.shared import keep
 from . import scoring
 
 #: Columns that a row may have besides job_id, url and html, and their types where it hasn't.
@@ -164,8 +165,12 @@ def classify(
     probes: DataFrame | None = None,
     chains: DataFrame | None = None,
     chunk_vectors: DataFrame | None = None,
-    phrases: DataFrame | None = None,
+    phrases: DataFrame | semantic.Library | None = None,
     logos: DataFrame | None = None,
+    translations: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    logo_vectors: DataFrame | None = None,
+    image_vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Jobs (job_id, url, html and optional columns) with everything that is known about them joined on, then classified.
 
@@ -173,10 +178,17 @@ def classify(
     parsed once.
 
     brands: to resolve brand_id and user_input against.  intel: tables tls, whois, dns and geo by host.  probes: (url,
-    http_status, body_excerpt, error).  chains: (page_url, hops, final_html, error).  chunk_vectors and phrases: for
-    semantic facts.  logos: as find_logo gives them.  Tables that are missing leave their signals absent.
+    http_status, body_excerpt, error).  chains: (page_url, hops, final_html, error).
+
+    Semantic facts need phrases, a table or a stored library, and vectors (text, vector): pages are parsed, their texts
+    translated by translations (lang, text, translated) where those are given, cut into chunks and looked up by what they say.
+    chunk_vectors are ready-made chunks in their place.  Logos need logo_vectors (brand_id, logo_vector) and image_vectors (url,
+    vector): the images that a page shows are ranked and looked up; logos are ready-made results, as find_logo gives them.
+    Tables that are missing leave their signals absent.
     """
     pages = [c for c in ("html", "rendered_text") if c in jobs.columns]
+    semantic_pages = vectors is not None and phrases is not None
+    logo_pages = logo_vectors is not None and image_vectors is not None
     looked_up = any(x is not None for x in (brands, intel, chunk_vectors, logos, chains))
     rows = jobs.drop(*pages) if looked_up else jobs
     if brands is not None:
@@ -184,28 +196,54 @@ def classify(
         rows = B.resolve(rows, brands).withColumn("brand_resolved", F.col("brand").isNotNull())
     if intel is not None:
         rows = trust.gather(rows, **intel)
-    if chunk_vectors is not None and phrases is not None:
-        derived = semantic.derive(semantic.match(chunk_vectors, phrases)).select("job_id", F.col("facts").alias("derived_facts"))
-        rows = rows.join(derived, "job_id", "left")
-    if logos is not None:
+    if chunk_vectors is not None and phrases is not None and not semantic_pages:
+        rows = rows.join(derived(semantic.match(chunk_vectors, phrases)), "job_id", "left")
+    if logos is not None and not logo_pages:
         rows = rows.join(logos.select("job_id", F.col("detected").alias("brand_image_detected")), "job_id", "left")
     if chains is not None:
         domain = L.official_domain(F.col("url"), with_optional(rows)["brand.official_domains"]) if "brand" in rows.columns else L.official_domain(F.col("url"), F.lit(None).cast("array<string>"))
         rows = rows.join(chains.withColumnRenamed("page_url", "url"), "url", "left").withColumn("redirects", L.redirects(F.col("hops"), F.col("final_html"), F.col("url"), domain, F.col("error"))).drop("hops", "final_html", "error")
     if looked_up:
         rows = rows.join(jobs.select("job_id", *pages), "job_id")
+    if probes is None and not semantic_pages and not logo_pages:
+        return classify_rows(rows)
+    parsed = keep(parsed_jobs(rows))  # read several times, parsed once
+    found: dict[str, DataFrame] = {}
+    if semantic_pages:
+        texts = translation.translated_units(parsed, translations) if translations is not None else None
+        found["derived_facts"] = derived(semantic.match_texts(semantic.page_chunks(parsed, texts), vectors, phrases))
+    if logo_pages:
+        found["brand_image_detected"] = logo_found(parsed, logo_vectors, image_vectors)
     if probes is not None:
-        # read twice, parsed once; lost parts are parsed again
-        parsed = parsed_jobs(rows).persist(StorageLevel.DISK_ONLY)
-        target = L.targets(F.col("doc.anchor_targets"), F.col("url"))
-        pages = parsed.select(F.col("job_id").alias("page"), "url", L.trust_navigation(F.col("doc.trust_items")).alias("navigation"), target.alias("t"))
-        urls = F.concat(F.col("t.urls"), F.array_repeat(F.lit(None).cast("string"), F.col("t.placeholders")))
-        state = L.health(pages.select("page", F.posexplode(urls).alias("pos", "url")), probes).where("exceeds_threshold")
-        keep = [c.split(":")[0].strip() for c in OPTIONAL["link_health"][7:-1].split(",")]
-        state = state.select(F.col("page").alias("job_id"), F.struct(*keep).cast(OPTIONAL["link_health"]).alias("link_health"))
-        status = L.trust_status(pages.drop("t"), probes).select(F.col("page").alias("job_id"), F.col("trust_status").alias("navigation_status"))
-        return label_parsed(parsed.drop("link_health", "navigation_status").join(state, "job_id", "left").join(status, "job_id", "left"))
-    return classify_rows(rows)
+        found["link_health"], found["navigation_status"] = probed(parsed, probes)
+    for column, df in found.items():
+        parsed = parsed.drop(column).join(df, "job_id", "left")
+    return label_parsed(parsed)
+
+
+def derived(matches: DataFrame) -> DataFrame:
+    """(job_id, derived_facts)."""
+    return semantic.derive(matches).select("job_id", F.col("facts").alias("derived_facts"))
+
+
+def logo_found(parsed: DataFrame, logo_vectors: DataFrame, image_vectors: DataFrame) -> DataFrame:
+    """(job_id, brand_image_detected) of parsed pages with images and a brand that has a logo."""
+    shown = parsed.select("job_id", "url", F.col("doc.images").alias("images"), F.col("brand.brand_names").alias("brand_names"), F.lower("brand.brand_id").alias("brand_key")).where("size(images) > 0 AND size(brand_names) > 0")
+    known = logo_vectors.groupBy(F.lower("brand_id").alias("brand_key")).agg(F.min("logo_vector").alias("logo_vector"))
+    logo = look_up(shown.select("job_id", "brand_key"), known, "brand_key", F.col("job_id")).where("logo_vector IS NOT NULL").drop("brand_key")
+    candidates = semantic.image_candidates(shown).join(logo, "job_id").select("job_id", "url", "rank", "logo_vector")
+    return semantic.find_logo(candidates, image_vectors).select("job_id", F.col("detected").alias("brand_image_detected"))
+
+
+def probed(parsed: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(job_id, link_health) of pages with too many dead links, and (job_id, navigation_status), of parsed pages."""
+    target = L.targets(F.col("doc.anchor_targets"), F.col("url"))
+    pages = parsed.select(F.col("job_id").alias("page"), "url", L.trust_navigation(F.col("doc.trust_items")).alias("navigation"), target.alias("t"))
+    urls = F.concat(F.col("t.urls"), F.array_repeat(F.lit(None).cast("string"), F.col("t.placeholders")))
+    state = L.health(pages.select("page", F.posexplode(urls).alias("pos", "url")), probes).where("exceeds_threshold")
+    fields = [c.split(":")[0].strip() for c in OPTIONAL["link_health"][7:-1].split(",")]
+    state = state.select(F.col("page").alias("job_id"), F.struct(*fields).cast(OPTIONAL["link_health"]).alias("link_health"))
+    return state, L.trust_status(pages.drop("t"), probes).select(F.col("page").alias("job_id"), F.col("trust_status").alias("navigation_status"))
 
 
 def batch(jobs: DataFrame, index: str = "index", **tables) -> DataFrame:

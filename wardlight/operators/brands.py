@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
-from ..functions.text import bind, first_wins, slug
+from ..functions.text import bind, contains_brand, first_wins, slug
 
 TEXTS = "array<string>"
 
@@ -47,6 +47,23 @@ def resolve(jobs: DataFrame, brands: DataFrame, job_id: str = "job_id", brand_id
     return jobs.join(found, F.col(job_id) == F.col("__job"), "left").drop("__job")
 
 
+def named_in(docs: DataFrame, brands: DataFrame, doc_id: str = "doc_id", text: str = "text", brand: str = "brand") -> DataFrame:
+    """(doc_id, brand): which brands, of one word or several, a text has as tokens, each once.
+
+    Texts are cut into tokens once (what is next to a letter, digit, underscore or dot belongs to the token) and meet the
+    brands by their first token, so the work grows with the texts and not with the number of brands; a brand of several
+    tokens is then sought in the texts that have its first one.
+    """
+    tokens = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9_.]+"), lambda t: t != "")
+    # of a brand that holds other characters the first token decides where it is sought, the pattern whether it is there
+    asked = brands.select(F.trim(brand).alias("brand")).where("brand <> ''").distinct().withColumn("first", F.get(tokens(F.col("brand")), F.lit(0)))
+    asked = asked.withColumn("plain", F.lower("brand") == F.col("first")).where("first IS NOT NULL")
+    said = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("first"))
+    found = said.join(asked, "first").select("doc_id", "brand", "plain")
+    whole = found.where(~F.col("plain")).join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "doc_id").where(contains_brand(F.col("__text"), F.col("brand"))).select("doc_id", "brand")
+    return found.where("plain").select("doc_id", "brand").unionByName(whole).distinct()
+
+
 def mode_first(values: Column) -> Column:
     """The most frequent value of an array; of equally frequent ones the first."""
 
@@ -97,21 +114,28 @@ def register(requests: DataFrame, intel: DataFrame) -> DataFrame:
     )
 
 
-def upsert(store: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """The store with new brands over old ones of the same id but for case: given fields win, created_at stays.
+def upsert(store: DataFrame, new: DataFrame, now: Column, order: str = "seq") -> DataFrame:
+    """The store with new brands over old ones of the same id but for case, one after the other by ``order``.
 
-    Old brands keep their place (ord), new ones follow in order of their id.
+    A new brand's fields that aren't null win, later ones over earlier; created_at stays, updated_at is now, the id is
+    spelled as the last one has it.  Old brands keep their place (ord), new ones follow by the order of their first row.  Rows
+    without an id aren't brands.  Rows of one id are put together in each task first, and no window spans the store.
     """
-    a, b = store.alias("a"), new.dropDuplicates(["brand_id"]).alias("b")
-    both = a.join(b, F.lower("a.brand_id") == F.lower("b.brand_id"), "full_outer")
     fields = [c for c in store.columns if c not in ("created_at", "updated_at", "ord", "brand_id")]
-    pick = [F.when(F.col("b.brand_id").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) if c in new.columns else F.col(f"a.{c}").alias(c) for c in fields]
-    stamped = both.select(
-        F.coalesce("b.brand_id", "a.brand_id").alias("brand_id"),
-        *pick,
-        F.coalesce("a.created_at", now).alias("created_at"),
-        F.when(F.col("b.brand_id").isNotNull(), now).otherwise(F.col("a.updated_at")).alias("updated_at"),
-        F.col("a.ord").alias("old"),
+    last = (store.agg(F.max("ord")).first() or [None])[0]
+    top = -1 if last is None else int(last)
+    own = [F.col(c) if c in new.columns else F.lit(None).cast(store.schema[c].dataType).alias(c) for c in fields]
+    old = store.select("brand_id", *fields, F.lit(None).cast("long").alias("__seq"), "created_at", "updated_at", F.col("ord").cast("long").alias("ord"))
+    none = F.lit(None).cast("string")
+    added = new.select("brand_id", *own, F.col(order).cast("long").alias("__seq"), none.alias("created_at"), none.alias("updated_at"), (F.col(order).cast("long") + top + 1).alias("ord"))
+    at = F.struct(F.col("__seq").isNotNull(), "__seq")
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    was = F.max(F.col("__seq").isNull())
+    merged = old.unionByName(added).where("brand_id IS NOT NULL AND brand_id <> ''").groupBy(F.lower("brand_id").alias("__id")).agg(
+        newest("brand_id"),
+        *[newest(c) for c in fields],
+        F.coalesce(F.max("created_at"), now).alias("created_at"),
+        F.when(F.max(F.col("__seq").isNotNull()), now).otherwise(F.max("updated_at")).alias("updated_at"),
+        F.when(was, F.min(F.when(F.col("__seq").isNull(), F.col("ord")))).otherwise(F.min("ord")).alias("ord"),
     )
-    place = Window.orderBy(F.col("old").asc_nulls_last(), "brand_id")  # a store of brands is small
-    return stamped.withColumn("ord", F.row_number().over(place)).drop("old")
+    return merged.drop("__id").select("brand_id", *fields, "created_at", "updated_at", "ord")

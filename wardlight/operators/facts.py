@@ -18,9 +18,14 @@ TRUE = "true"
 
 
 def signal(when: Column, name: str, grp: str, strength: float | Column, value=TRUE, evidence="") -> Column:
-    as_col = lambda x: x.cast("string") if isinstance(x, Column) else F.lit(x)
-    power = strength if isinstance(strength, Column) else F.lit(float(strength))
-    return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("signal"), F.lit(grp).alias("grp"), power.cast("double").alias("strength"), as_col(value).alias("value"), as_col(evidence).alias("evidence")))
+    """A signal if the condition holds.  What is constant goes to the engine as one piece of SQL: building plans costs by the call."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    parts = {"signal": name, "grp": grp, "strength": strength, "value": value, "evidence": evidence}
+    if not any(isinstance(x, Column) for x in parts.values()):
+        sql = ", ".join(f"'{k}', {quoted(v) if isinstance(v, str) else f'{float(v)!r}D'}" for k, v in parts.items())
+        return F.when(when, F.expr(f"named_struct({sql})"))
+    as_col = lambda k, x: (x.cast("double" if k == "strength" else "string") if isinstance(x, Column) else F.expr(quoted(x) if isinstance(x, str) else f"{float(x)!r}D")).alias(k)
+    return F.when(when, F.struct(*[as_col(k, x) for k, x in parts.items()]))
 
 
 def signals(*items: Column) -> Column:
@@ -31,6 +36,39 @@ def first_of_each(facts: Column) -> Column:
     return first_wins(facts, lambda f: f["signal"])
 
 
+MEMORY = "array<struct<signal: string, grp: string, strength: double, value: string, evidence: array<string>>>"
+
+
+def assert_signals(asserted: Column) -> Column:
+    """What is remembered of ``asserted`` (as MEMORY, in order of assertion): an entry a signal, in order of first assertion.
+
+    A later assertion of a signal takes the place of an earlier one only if it is stronger, with its value and all its
+    evidence; strengths are kept within 0 and 1, so one above 1 takes the place of one that was cut to 1.
+    """
+
+    def strongest(own: Column) -> Column:
+        kept = lambda x: F.struct(x["signal"].alias("signal"), x["grp"].alias("grp"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x["strength"])).alias("strength"), x["value"].alias("value"), x["evidence"].alias("evidence"))
+        rest = F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0)))
+        return F.aggregate(rest, kept(F.get(own, F.lit(0))), lambda a, x: F.when(x["strength"] > a["strength"], kept(x)).otherwise(a))
+
+    def each(all_: Column) -> Column:
+        return F.transform(F.array_distinct(F.transform(all_, lambda x: x["signal"])), lambda n: strongest(F.filter(all_, lambda x: x["signal"] == n)))
+
+    return bind(F.filter(asserted.cast(MEMORY), lambda x: x["signal"].isNotNull()), each).cast(MEMORY)
+
+
+def by_strength(memory: Column) -> Column:
+    """The remembered signals as a map by name, the strongest first, equally strong ones in order of first assertion."""
+    indexed = F.transform(memory, lambda x, i: F.struct((-x["strength"]).alias("s"), i.alias("i"), x.alias("x")))
+    return F.map_from_entries(F.transform(F.array_sort(indexed), lambda e: F.struct(e["x"]["signal"].alias("key"), e["x"].alias("value"))))
+
+
+def get_signal(memory: Column, name: Column | str) -> Column:
+    """A remembered signal, null if there is none."""
+    wanted = F.lit(name) if isinstance(name, str) else name
+    return F.get(F.filter(memory, lambda x: x["signal"] == wanted), F.lit(0))
+
+
 def names(facts: Column) -> Column:
     return F.transform(facts, lambda f: f["signal"])
 

@@ -5,11 +5,12 @@ Probes are a table (url, http_status, body_excerpt, error); a url without a row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import url as U
+from ..functions.skew import look_up
 from ..functions.text import bind, first_wins
 from .detectors import client_redirects, contains_any
 
@@ -32,17 +33,26 @@ def targets(raw: Column, page_url: Column) -> Column:
     return F.struct(F.size(F.filter(own, placeholder)).alias("placeholders"), F.filter(urls, lambda u: u.rlike("(?i)^https?://")).alias("urls"))
 
 
+def one_probe(probes: DataFrame) -> DataFrame:
+    """(url, probe): of several probes of a url the least by status, body and error, nulls first, as one struct."""
+    return probes.groupBy("url").agg(F.min(F.struct("http_status", "body_excerpt", "error")).alias("probe"))
+
+
 def health(anchors: DataFrame, probes: DataFrame, threshold: float = DEAD_RATIO, dominant: float = DOMINANT_SHARE) -> DataFrame:
     """A row for each page of ``anchors`` (page, pos, url; a null url is a placeholder) with the state of its links.
 
-    Occurrences are counted before the probes are joined, so a url is looked up once a page.  Tests use the exact
+    Occurrences are counted before the probes are looked up, so a url is looked up once a page, and one that very many pages
+    have over several tasks.  Samples are the first five of a kind on the page; no more are held.  Tests use the exact
     ratio and share; what is returned is rounded to three places.
     """
-    state = probes.groupBy("url").agg(F.first(probe_status(F.col("http_status"), F.col("body_excerpt"), F.col("error"))).alias("status"))
+    state = one_probe(probes).select("url", probe_status(F.col("probe.http_status"), F.col("probe.body_excerpt"), F.col("probe.error")).alias("status"))
     counts = anchors.groupBy("page", "url").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    known = counts.join(state, "url", "left").withColumn("status", F.when(F.col("url").isNull(), "placeholder").otherwise(F.coalesce("status", F.lit("network_error"))))
+    known = look_up(counts, state, "url", F.col("page")).withColumn("status", F.when(F.col("url").isNull(), "placeholder").otherwise(F.coalesce("status", F.lit("network_error"))))
+    of_page = Window.partitionBy("page")
+    nth = F.row_number().over(of_page.orderBy("status", "first", "url")) - F.rank().over(of_page.orderBy("status")) + 1
+    known = known.withColumn("nth", nth)
     of = lambda *s: F.coalesce(F.sum(F.when(F.col("status").isin(*s), F.col("n"))), F.lit(0))
-    sample = lambda s: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.struct("first", "url")))), lambda x: x["url"]), 1, SAMPLES)
+    sample = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("status") == s) & (F.col("nth") <= SAMPLES), F.struct("first", "url")))), lambda x: x["url"])
     real = F.col("status") != "placeholder"
     top = F.max_by(F.when(real, F.struct("url", "n", "status")), F.when(real, F.struct(F.col("n"), -F.col("first"))))
     out = known.groupBy("page").agg(
@@ -110,8 +120,8 @@ def trust_status(pages: DataFrame, probes: DataFrame, page: str = "page", url: s
     nav = F.col(navigation)
     resolved = F.transform(nav["candidates"], lambda c: F.coalesce(U.resolve(c["href"], F.col(url)), F.lit("")))
     each = pages.select(F.col(page).alias("__page"), F.posexplode(F.array_distinct(resolved)).alias("__pos", "__url"))
-    answers = probes.groupBy("url").agg(F.first("http_status").alias("__status"), F.first("error").alias("__error"))
-    tried = each.join(answers, each["__url"] == answers["url"], "left")
+    answers = one_probe(probes).select(F.col("url").alias("__url"), F.col("probe.http_status").alias("__status"), F.col("probe.error").alias("__error"))
+    tried = look_up(each, answers, "__url", F.col("__page"))
     works = (F.col("__status") >= 200) & (F.col("__status") < 300) & F.col("__error").isNull()
     why = F.concat(F.col("__url"), F.lit(" ("), F.coalesce("__error", F.concat(F.lit("HTTP "), F.col("__status")), F.lit("request failed")), F.lit(")"))
     found = tried.groupBy("__page").agg(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, prices
 from ..functions import url as U
-from ..functions.text import contains_brand, escape
+from ..functions.text import escape
 from ..operators import brands as B
 from ..operators import detectors as D
 from ..operators import dictionaries as W
@@ -244,18 +244,22 @@ def age_and_parking_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases_of(spark, sf_dir).select("doc_id", join(W.age_gate(F.col("text"))).alias("age_gate"), W.parking_clue(F.col("text")).alias("parking"))
 
 
+#: Brands are words that texts have: one of each lang and length, the least that no other brand has.
+_BRANDS_SQL = """w AS (SELECT DISTINCT lang, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents),
+brands AS (SELECT min(word) AS brand FROM w WHERE length(word) BETWEEN 3 AND 12 GROUP BY lang, length(word))"""
+
+
 @query(
-    """SELECT doc_id, n_nationkey
-FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' in FRANCE, at china.com or Japan.' ELSE ' myfrance' END AS text FROM documents), nation
-WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_.])' || n_name || '([^A-Za-z0-9_.]|$)')"""
+    f"""WITH {_BRANDS_SQL}, named AS (SELECT DISTINCT brand FROM brands),
+said AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_.]*[0-9_.][A-Za-z0-9_.]*', ' ', 'g'), '[A-Za-z]+'))) AS word FROM documents)
+SELECT doc_id, brand FROM said JOIN named ON word = brand"""
 )
 def brand_tokens_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and the brands that they name: the 25 nations, a list that doesn't grow, become patterns of the plan."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " in FRANCE, at china.com or Japan.").otherwise(" myfrance")).alias("text"))
-    brands = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    kind = brands.schema["n_nationkey"].dataType
-    named = F.array_compact(F.array(*[F.when(contains_brand(F.col("text"), b.n_name), F.lit(b.n_nationkey).cast(kind)) for b in brands.collect()]))
-    return docs.select("doc_id", F.explode(named).alias("n_nationkey"))
+    """Documents and the brands that they name; brands are words that occur, and are found by their tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    words = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("text", "[^A-Za-z]+", " ")), F.lit("([a-z]+)"), F.lit(1)))).alias("word"))
+    brands = words.where("length(word) BETWEEN 3 AND 12").groupBy("lang", F.length("word")).agg(F.min("word").alias("brand")).select("brand").distinct()
+    return B.named_in(docs, brands).select("doc_id", "brand")
 
 
 # --- prices ----------------------------------------------------------------------------------------------------------
@@ -401,7 +405,7 @@ FROM (SELECT 's' || s_suppkey AS id, 'a' || s_suppkey AS site FROM supplier WHER
 def upsert_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
     old = s.where(k % 3 != 0).select(F.concat(F.lit("s"), k).alias("brand_id"), F.concat(F.lit("a"), k).alias("official_site"), F.lit("old").alias("created_at"), F.lit("old").alias("updated_at"), k.cast("int").alias("ord"))
-    new = s.where(k % 2 == 0).select(F.concat(F.lit("S"), k).alias("brand_id"), F.concat(F.lit("b"), k).alias("official_site"))
+    new = s.where(k % 2 == 0).select(F.concat(F.lit("S"), k).alias("brand_id"), F.concat(F.lit("b"), k).alias("official_site"), k.alias("seq"))
     return B.upsert(old, new, F.lit("now")).select("brand_id", "official_site", "created_at", "updated_at")
 
 

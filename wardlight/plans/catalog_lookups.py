@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import brands as B
+from ..operators import facts as X
+from ..operators import links as L
+from ..operators import semantic as S
 from ..operators import translation as T
+from ..sources import shared, stores
 from . import classify as C
 from .catalog import SQL, join, query, table
 
@@ -125,12 +132,119 @@ def content_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
 _LANG_SQL = "lower(regexp_extract(html, '(?i)<html\\b[^>]*\\blang\\s*=\\s*[\"'']?\\s*([a-zA-Z]+)', 1)) IN ('de', 'fr', 'es')"
 
 
+def _label_sql(label: str) -> str:
+    """Pages of a casino, which their footers name, are about gambling unless something stronger is found."""
+    return f"'{label}'" if label != "Other_Site" else "CASE WHEN regexp_matches(html, '(?i)&copy; [^<]*\\bcasino\\b') THEN 'Gambling' ELSE 'Other_Site' END"
+
+
 @query(
     f"SELECT page_id AS job_id, CASE page_id % {len(CONTENTS)} "
-    + " ".join(f"WHEN {i} THEN CASE WHEN {_LANG_SQL} THEN '{a}' ELSE '{b}' END" for i, (_, a, b) in enumerate(CONTENTS))
+    + " ".join(f"WHEN {i} THEN CASE WHEN {_LANG_SQL} THEN {_label_sql(a)} ELSE {_label_sql(b)} END" for i, (_, a, b) in enumerate(CONTENTS))
     + " END AS label FROM pages"
 )
 def classify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages: translated where they aren't in English, cut into chunks, matched, and their images held against a logo."""
     jobs, tables = content_tables(spark, sf_dir)
     return C.classify(jobs, **tables).select("job_id", "label")
+
+
+# --- a store of brands -----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH old AS (SELECT 'b' || c_custkey AS id, 'site' || c_custkey AS site, 'MY' AS country, c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0),
+new AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'B' ELSE 'b' END || o_custkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN 's' || o_orderkey END AS site, CASE WHEN o_orderkey % 5 = 0 THEN 'K' || o_orderkey END AS country, o_custkey AS k, o_orderkey AS seq FROM orders),
+n AS (SELECT k, arg_max(id, seq) AS id, arg_max(site, seq) FILTER (site IS NOT NULL) AS site, arg_max(country, seq) FILTER (country IS NOT NULL) AS country FROM new GROUP BY k)
+SELECT coalesce(n.id, o.id) AS brand_id, coalesce(n.site, o.site) AS official_site, coalesce(n.country, o.country) AS expected_country, CASE WHEN o.id IS NOT NULL THEN 'old' ELSE 'now' END AS created_at,
+  CASE WHEN n.id IS NOT NULL THEN 'now' ELSE 'old' END AS updated_at, 2::BIGINT AS version FROM old o FULL JOIN n ON o.k = n.k"""
+)
+def merged_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands of all customers, merged with many changes by ids equal but for case; the second version of a stored table."""
+    c, o, k = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    first = c.where("c_custkey % 3 <> 0").select(F.concat(F.lit("b"), "c_custkey").alias("brand_id"), F.concat(F.lit("site"), "c_custkey").alias("official_site"), F.lit("MY").alias("expected_country"), F.lit("old").alias("created_at"), F.lit("old").alias("updated_at"), F.col("c_custkey").alias("ord"))
+    folder = f"{shared.folder(spark)}/kept-brands-{uuid.uuid4()}"
+    seen = stores.write_version(first, folder)
+    new = o.select(F.concat(F.when(k % 2 == 0, "B").otherwise("b"), "o_custkey").alias("brand_id"), F.when(k % 3 > 0, F.concat(F.lit("s"), k)).alias("official_site"), F.when(k % 5 == 0, F.concat(F.lit("K"), k)).alias("expected_country"), k.alias("seq"))
+    number = stores.write_version(B.upsert(stores.read_version(spark, folder), new, F.lit("now")), folder, seen)
+    return stores.read_version(spark, folder).drop("ord").withColumn("version", F.lit(number).cast("long"))
+
+
+# --- links -----------------------------------------------------------------------------------------------------------
+
+#: How a url of the queries answers, by its number; it is probed twice, the second time without an answer in some cases.
+_PROBE_SQL = """probe AS (SELECT p, 'https://u.example/' || p AS url, CASE p % 5 WHEN 0 THEN 'alive' WHEN 1 THEN 'hard_dead' WHEN 2 THEN 'soft_dead' WHEN 3 THEN 'network_error' ELSE 'alive' END AS st FROM (SELECT DISTINCT p_partkey % 400 AS p FROM part))"""
+
+
+def probe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p") % 5
+    urls = table(spark, sf_dir, "part").select((F.col("p_partkey") % 400).alias("p")).distinct()
+    answer = lambda status, body, error: F.struct(status.cast("int").alias("http_status"), body.cast("string").alias("body_excerpt"), error.cast("string").alias("error"))
+    none = F.lit(None)
+    first = F.when(p == 1, answer(F.lit(404), F.lit("gone"), none)).when(p == 2, answer(F.lit(200), F.lit("Page Not Found"), none)).when(p == 3, answer(none, none, F.lit("reset"))).otherwise(answer(F.lit(200), F.lit("fine"), none))
+    second = F.when(p == 3, first).otherwise(answer(F.lit(599), F.lit("later"), none))
+    return urls.select(F.concat(F.lit("https://u.example/"), "p").alias("url"), F.explode(F.array(first, second)).alias("a")).select("url", "a.*")
+
+
+@query(
+    f"""WITH {_PROBE_SQL},
+a AS (SELECT l_orderkey // 20 AS page, ((l_orderkey % 20) * 8 + l_linenumber) * 400 + l_partkey % 400 AS pos, CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber = 7 THEN NULL ELSE l_partkey % 400 END AS p FROM lineitem),
+c AS (SELECT page, p, count(*) AS n, min(pos) AS first FROM a GROUP BY page, p),
+k AS (SELECT c.*, url, CASE WHEN c.p IS NULL THEN 'placeholder' ELSE coalesce(st, 'network_error') END AS st, row_number() OVER (PARTITION BY page, coalesce(st, CASE WHEN c.p IS NULL THEN 'placeholder' ELSE 'network_error' END) ORDER BY first) AS nth
+  FROM c LEFT JOIN probe ON probe.p = c.p)
+SELECT page, sum(n)::BIGINT AS evaluable_count, count(p)::BIGINT AS unique_count, (sum(n) - coalesce(sum(n) FILTER (st = 'alive'), 0))::BIGINT AS broken_count, arg_max(url, (n, -first)) FILTER (p IS NOT NULL) AS dominant_url,
+  coalesce(string_agg(url, ' ' ORDER BY first) FILTER (st = 'hard_dead' AND nth <= 5), '') AS hard_dead_samples, coalesce(string_agg(url, ' ' ORDER BY first) FILTER (st = 'soft_dead' AND nth <= 5), '') AS soft_dead_samples,
+  coalesce(string_agg(url, ' ' ORDER BY first) FILTER (st = 'network_error' AND nth <= 5), '') AS network_error_samples FROM k GROUP BY page"""
+)
+def link_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages with one url that all of them have; every url was probed twice."""
+    line, part = F.col("l_linenumber"), F.col("l_partkey") % 400
+    p = F.when(line == 1, F.lit(0).cast(table(spark, sf_dir, "lineitem").schema["l_partkey"].dataType)).when(line != 7, part)
+    anchors = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 20").alias("page"), (((F.col("l_orderkey") % 20) * 8 + line) * 400 + part).alias("pos"), F.concat(F.lit("https://u.example/"), p).alias("url"))
+    found = L.health(anchors, probe_table(spark, sf_dir))
+    return found.select("page", "evaluable_count", "unique_count", "broken_count", "dominant_url", *[join(F.col(f"{k}_samples"), " ").alias(f"{k}_samples") for k in ("hard_dead", "soft_dead", "network_error")])
+
+
+# --- remembered signals ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey AS job, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey AS pos, 's' || l_partkey % 4 AS s, (l_suppkey % 8) * 0.2::DOUBLE - 0.1::DOUBLE AS strength, 'v' || l_linenumber AS v, [l_returnflag, 'e' || l_suppkey % 8] AS e FROM lineitem),
+g AS (SELECT job, s, min(pos) AS first, list({'strength': strength, 'v': v, 'e': e} ORDER BY pos, e) AS x FROM a GROUP BY job, s),
+f AS (SELECT job, s, first, list_reduce(x, lambda m, y: CASE WHEN y.strength > least(1.0::DOUBLE, greatest(0.0::DOUBLE, m.strength)) THEN y ELSE m END) AS y FROM g),
+h AS (SELECT job, s, first, least(1.0::DOUBLE, greatest(0.0::DOUBLE, y.strength)) AS strength, y.v || '/' || array_to_string(y.e, '+') AS t FROM f)
+SELECT job, string_agg(s || '=' || t, ',' ORDER BY first) AS asserted, string_agg(s, ',' ORDER BY strength DESC, first) AS by_strength, max(strength) AS strongest, max(t) FILTER (s = 's1') AS s1 FROM h GROUP BY job"""
+)
+def signal_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals asserted again and again: the stronger ones stay, with all their evidence."""
+    li, power = table(spark, sf_dir, "lineitem"), (F.col("l_suppkey") % 8) * F.lit(0.2) - F.lit(0.1)
+    one = F.struct(F.concat(F.lit("s"), F.col("l_partkey") % 4).alias("signal"), F.lit("g").alias("grp"), power.alias("strength"), F.concat(F.lit("v"), "l_linenumber").alias("value"), F.array("l_returnflag", F.concat(F.lit("e"), F.col("l_suppkey") % 8)).alias("evidence"))
+    own = li.groupBy(F.col("l_orderkey").alias("job")).agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("pos"), one.alias("x")))), lambda e: e["x"]).alias("a"))
+    own = own.select("job", X.assert_signals(F.col("a")).alias("m"))
+    told = lambda x: F.concat(x["value"], F.lit("/"), F.array_join(x["evidence"], "+"))
+    ranked = X.by_strength(F.col("m"))
+    return own.select("job", F.array_join(F.transform("m", lambda x: F.concat(x["signal"], F.lit("="), told(x))), ",").alias("asserted"), F.array_join(F.map_keys(ranked), ",").alias("by_strength"), F.get(F.map_values(ranked), F.lit(0))["strength"].alias("strongest"), told(X.get_signal(F.col("m"), "s1")).alias("s1"))
+
+
+# --- images ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""WITH e AS (SELECT vec_id // 40 AS job, vec_id % 40 AS i, vec_id FROM embeddings),
+x AS (SELECT job, i, CASE i % 8 WHEN 0 THEN '/icons/' || i // 2 || '.png' WHEN 1 THEN 'https://cdn.example/acme-' || i || '.png' WHEN 2 THEN '/img/' || i || '.SVG?x=1' WHEN 3 THEN '/logo/' || i WHEN 4 THEN '//acme.example/' || i WHEN 5 THEN '' WHEN 6 THEN '/a/' || i ELSE 'data:image/svg+xml,' || i END AS src FROM e),
+u AS (SELECT job, i, CASE WHEN src LIKE 'data:%' OR src LIKE 'https:%' THEN src WHEN src LIKE '//%' THEN 'https:' || src ELSE 'https://h.example' || src END AS url, CASE i % 8 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 6 THEN 3 ELSE 4 END AS rank, i % 8 IN (2, 7) AS svg FROM x WHERE src <> ''),
+f AS (SELECT job, url, min(i) AS i, arg_min(rank, i) AS rank, any_value(svg) AS svg FROM u GROUP BY job, url),
+r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY rank, CASE WHEN url LIKE 'data:%' THEN 'a' ELSE 'b' END, CASE WHEN rank = 0 THEN lpad(regexp_extract(url, '(\d+)\.png', 1), 3, '0') WHEN rank = 2 AND url LIKE '%cdn%' THEN 'a' || i // 10 || '.' || i ELSE 'b' || i // 10 || '.' || i END) AS nth FROM f)
+SELECT job AS job_id, count(*)::BIGINT AS n, sum(rank)::BIGINT AS ranks, count(*) FILTER (svg)::BIGINT AS n_svg, max(rank)::BIGINT AS worst FROM r WHERE nth <= 15 GROUP BY job"""
+)
+def image_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen best of each page's images, made absolute, without repeats, by rank and address."""
+    i = F.col("vec_id") % 40
+    kind = i % 8
+    src = F.when(kind == 0, F.concat(F.lit("/icons/"), F.floor(i / 2), F.lit(".png"))).when(kind == 1, F.concat(F.lit("https://cdn.example/acme-"), i, F.lit(".png"))).when(kind == 2, F.concat(F.lit("/img/"), i, F.lit(".SVG?x=1")))
+    src = src.when(kind == 3, F.concat(F.lit("/logo/"), i)).when(kind == 4, F.concat(F.lit("//acme.example/"), i)).when(kind == 5, "").when(kind == 6, F.concat(F.lit("/a/"), i)).otherwise(F.concat(F.lit("data:image/svg+xml,"), i))
+    text = lambda c: F.coalesce(c, F.lit("")).cast("string")
+    image = F.struct(src.alias("src"), text(F.when(kind == 2, "The ACME brand")).alias("alt"), F.when(kind == 6, "og").otherwise("img").alias("kind"), text(F.when(kind == 0, "shortcut icon")).alias("rel"), F.lit("").alias("class_name"), F.lit("").alias("id"))
+    pages = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 40").alias("job_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", image.alias("x")))), lambda e: e["x"]).alias("images"))
+    pages = pages.select("job_id", F.lit("https://h.example/p").alias("url"), "images", F.array(F.lit("Acme!"), F.lit(None).cast("string")).alias("brand_names"))
+    best = S.image_candidates(pages)
+    return best.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.sum("rank").cast("long").alias("ranks"), F.count_if("svg").alias("n_svg"), F.max("rank").cast("long").alias("worst"))

@@ -211,13 +211,14 @@ def classify(
     found: dict[str, DataFrame] = {}
     if semantic_pages:
         texts = translation.translated_units(parsed, translations) if translations is not None else None
-        found["derived_facts"] = derived(semantic.match_texts(semantic.page_chunks(parsed, texts), vectors, phrases))
+        chunks = keep(semantic.page_chunks(parsed, texts))  # looked up, counted and placed
+        found["derived_facts"] = derived(semantic.match_texts(chunks, vectors, phrases))
     if logo_pages:
         found["brand_image_detected"] = logo_found(parsed, logo_vectors, image_vectors)
     if probes is not None:
         found["link_health"], found["navigation_status"] = probed(parsed, probes)
     for column, df in found.items():
-        parsed = parsed.drop(column).join(df, "job_id", "left")
+        parsed = parsed.drop(column).join(keep(df) if len(found) > 1 else df, "job_id", "left")
     return label_parsed(parsed)
 
 

@@ -86,53 +86,41 @@ def score(df: DataFrame, signals: str = "signal_names", many: dict[str, Column]
     ``signals``: an array of the names of signals that are present.  ``many``: columns adult_strong_many and
     gambling_strong_many, whether there are two strong words or more.
     """
-    many = many or {}
-    own = [c for c in df.columns]
-    wide = df.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.struct(*[F.coalesce(many[n] if n in many else F.array_contains(signals, n), F.lit(False)).alias(n) for n in INPUTS]).alias("__s"),
-    ).select(*[F.col(f"`{c}`") for c in own], *[F.col(f"__s.{n}").alias(f"__{n}") for n in INPUTS])
-    mine = lambda sql: F.expr(WORD.sub(lambda m: m[0] if m[0] not in DEFINED and m[0] not in INPUTS else f"`__{m[0]}`", sql))
+    # SQL text all along: building a plan of Columns costs by the call, and these are thousands
+    own = [f"`{c}`" for c in df.columns]
+    given = df.withColumns({f"__{n}": F.coalesce(c, F.lit(False)) for n, c in (many or {}).items()})
+    wide = given.selectExpr("*", *[f"coalesce(array_contains(`{signals}`, '{n}'), false) AS `__{n}`" for n in INPUTS if n not in (many or {})])
+    mine = lambda sql: WORD.sub(lambda m: m[0] if m[0] not in DEFINED and m[0] not in INPUTS else f"`__{m[0]}`", sql)
     for level in levels():
-        wide = wide.select("*", *[mine(DEFINED[k]).alias(f"__{k}") for k in level])
+        wide = wide.selectExpr("*", *[f"({mine(DEFINED[k])}) AS `__{k}`" for k in level])
     parts = []
     for seq, r, g, cond in _gains():
-        alternatives = g.signal.split("|")
-        signal = F.lit(alternatives[-1])
-        for s in reversed(alternatives[:-1]):
-            signal = F.when(mine(s), s).otherwise(signal)
-        parts.append(F.when(mine(cond), F.struct(F.lit(seq).alias("seq"), F.lit(g.label).alias("label"), F.lit(g.delta).alias("delta"), signal.alias("signal"), F.lit(r.id).alias("rule"))))
-    fired_ = F.array_compact(F.array(*[F.when(mine(fired(r)), F.lit(r.id)) for r in RULES]))
-    out = wide.select(*[F.col(f"`{c}`") for c in own], F.array_compact(F.array(*parts)).alias("contributions"), fired_.alias("fired_rules"))
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
-
-    def ledger(label: str, threshold: float) -> Column:
-        def add(a, c):
-            total = a["sum"] + c["delta"]
-            return F.struct(total.alias("sum"), F.when((a["at"] == 0) & (F.least(F.lit(1.0), total) >= threshold), c["seq"]).otherwise(a["at"]).alias("at"))
-
-        return F.aggregate(F.filter("contributions", lambda c: c["label"] == label), zero, add)
-
-    out = out.select("*", *[ledger(k, t).alias(f"__{k}") for k, t in THRESHOLDS.items()])
-    nothing = F.lit(True)
-    for k in THRESHOLDS:
-        nothing = nothing & (F.col(f"__{k}.at") == 0)
-    out = out.withColumn("__rest", nothing)
+        *first, last = g.signal.split("|")
+        signal = f"CASE {' '.join(f'WHEN {mine(x)} THEN {chr(39)}{x}{chr(39)}' for x in first)} ELSE '{last}' END" if first else f"'{last}'"
+        parts.append(f"CASE WHEN {mine(cond)} THEN named_struct('seq', {seq}, 'label', '{g.label}', 'delta', {float(g.delta)!r}D, 'signal', {signal}, 'rule', '{r.id}') END")
+    rules = [f"CASE WHEN {mine(fired(r))} THEN '{r.id}' END" for r in RULES]
+    out = wide.selectExpr(*own, f"array_compact(array({', '.join(parts)})) AS contributions", f"array_compact(array({', '.join(rules)})) AS fired_rules")
+
+    def ledger(label: str, threshold: float) -> str:
+        """The sum of a label's gains, and which gain brought it over the threshold first (0: none)."""
+        added = f"named_struct('sum', a.sum + c.delta, 'at', IF(a.at = 0 AND least(1.0D, a.sum + c.delta) >= {threshold!r}D, c.seq, a.at))"
+        return f"aggregate(filter(contributions, c -> c.label = '{label}'), named_struct('sum', 0.0D, 'at', 0), (a, c) -> {added})"
+
+    out = out.selectExpr("*", *[f"{ledger(k, float(t))} AS `__{k}`" for k, t in THRESHOLDS.items()])
+    out = out.selectExpr("*", " AND ".join(f"`__{k}`.at = 0" for k in THRESHOLDS) + " AS `__rest`")
     label, gain, _ = FALLBACK
-    capped = {k: F.least(F.lit(1.0), F.col(f"__{k}.sum")) for k in THRESHOLDS}
-    capped[label] = F.when(F.col("__rest"), F.lit(gain)).otherwise(capped[label])
-    promoted = F.array_compact(F.array(*[F.when(F.col(f"__{k}.at") > 0, F.struct(F.col(f"__{k}.at").alias("at"), F.lit(i).alias("order"), F.lit(k).alias("label"), capped[k].alias("score"))) for i, k in enumerate(THRESHOLDS)]))
-    rest = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("order"), F.lit(label).alias("label"), F.lit(gain).alias("score")))
-    out = out.withColumn("__promoted", F.when(F.col("__rest"), rest).otherwise(F.array_sort(promoted)))
-    best = F.array_max(F.transform("__promoted", lambda p: F.struct(p["score"], (-p["at"]).alias("a"), (-p["order"]).alias("o"), p["label"])))
-    out = out.withColumn("__best", best)
-    confidence = F.when(F.col("__best.score") >= 0.7, "high").when(F.col("__best.score") >= 0.45, "medium").otherwise("low")
-    return out.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.col("__best.label").alias("label"),
-        confidence.alias("confidence"),
-        F.transform("__promoted", lambda p: p["label"]).alias("classified_as"),
-        F.struct(*[capped[k].alias(k) for k in THRESHOLDS]).alias("scores"),
+    capped = {k: f"least(1.0D, `__{k}`.sum)" for k in THRESHOLDS}
+    capped[label] = f"IF(`__rest`, {float(gain)!r}D, {capped[label]})"
+    promoted = ", ".join(f"IF(`__{k}`.at > 0, named_struct('at', `__{k}`.at, 'order', {i}, 'label', '{k}', 'score', {capped[k]}), NULL)" for i, k in enumerate(THRESHOLDS))
+    rest = f"array(named_struct('at', 0, 'order', 0, 'label', '{label}', 'score', {float(gain)!r}D))"
+    out = out.selectExpr("*", f"IF(`__rest`, {rest}, array_sort(array_compact(array({promoted})))) AS `__promoted`")
+    out = out.selectExpr("*", "array_max(transform(`__promoted`, p -> named_struct('score', p.score, 'a', -p.at, 'o', -p.order, 'label', p.label))) AS `__best`")
+    return out.selectExpr(
+        *own,
+        "`__best`.label AS label",
+        "CASE WHEN `__best`.score >= 0.7D THEN 'high' WHEN `__best`.score >= 0.45D THEN 'medium' ELSE 'low' END AS confidence",
+        "transform(`__promoted`, p -> p.label) AS classified_as",
+        f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {capped[k]}' for k in THRESHOLDS)}) AS scores",
         "fired_rules",
         "contributions",
     )

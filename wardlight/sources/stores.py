@@ -1,7 +1,10 @@
-"""Readers and writers: the brand store, captures on disk, stage tables, and helpers for captured pages."""
+"""Readers and writers: the brand store, captures on disk, and helpers for captured pages."""
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,24 +14,83 @@ from ..operators.detectors import contains_any
 
 BRAND = """brand_id string, brand_names array<string>, official_site string, official_domains array<string>, registrant_organizations array<string>,
 registrant_countries array<string>, tls_subject_organizations array<string>, registrar_names array<string>, registrar_ids array<string>,
-min_registration_age_days int, expected_country string, logo_path string, created_at string, updated_at string"""
+min_registration_age_days int, expected_country string, logo_path string, created_at string, updated_at string, ord bigint"""
 
 
 def read_brands(spark: SparkSession, path: str) -> DataFrame:
     """Brands of a JSON store {"brands": [...]} in its order (ord); none if the store is missing or broken."""
     try:
-        raw = spark.read.schema(f"brands array<struct<{BRAND.replace(chr(10), ' ').replace(' string', ': string').replace(' int', ': int').replace(' array', ': array')}>>").option("multiLine", True).json(path)
+        raw = spark.read.schema(f"brands array<struct<{BRAND.replace(chr(10), ' ').replace(' string', ': string').replace(' int', ': int').replace(' bigint', ': bigint').replace(' array', ': array')}>>").option("multiLine", True).json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], BRAND + ", ord int")
-    return raw.where("brands is not null").select(F.posexplode("brands").alias("ord", "b")).select("b.*", "ord").where("brand_id is not null")
+        return spark.createDataFrame([], BRAND)
+    each = raw.where("brands is not null").select(F.posexplode("brands").alias("place", "b")).select("b.*", "place").where("brand_id is not null")
+    return each.withColumn("ord", F.coalesce("ord", F.col("place").cast("long"))).drop("place")
+
+
+#: Brands in one exported document at most.
+DOCUMENT = 10_000
 
 
 def write_brands(brands: DataFrame, path: str) -> None:
-    """The whole store anew, as one JSON document."""
-    own = F.struct(*[F.col(c) for c in brands.columns if c != "ord"])
-    brands.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", own.alias("b")))), lambda x: x["b"]).alias("brands")).write.mode("overwrite").json(path)
+    """The whole store anew, as JSON documents {"brands": [...]} of at most DOCUMENT neighbouring places each."""
+    own = F.struct(*[F.col(c) for c in brands.columns])
+    documents = brands.groupBy(F.expr(f"ord div {DOCUMENT}").alias("__part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", own.alias("b")))), lambda x: x["b"]).alias("brands"))
+    documents.select("brands").write.option("maxRecordsPerFile", 1).mode("overwrite").json(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop's (file system, path) of a folder."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
+def _child(spark: SparkSession, path: str, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path, name)
+
+
+def current_version(spark: SparkSession, folder: str) -> int | None:
+    """The number of the version that readers of a versioned store see; None before the first."""
+    fs, path = _hadoop(spark, folder)
+    pointers = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n.removeprefix("current-")) for n in pointers if n.startswith("current-")), default=None)
+
+
+def write_version(brands: DataFrame, folder: str, seen: int | None = None) -> int:
+    """The next version of a store, a table of its own, and its number; readers see it at once and whole, or not at all.
+
+    ``seen`` is the version that ``brands`` was made from.  Once its table is complete a writer claims the number, by a file that
+    only one can create, and names the table by a rename.  A writer who finds a newer version than it has seen, or the
+    number claimed, gets an error; the claim of a writer who was lost before the rename (claim-N without current-N) has to be deleted.
+    """
+    spark = brands.sparkSession
+    latest = current_version(spark, folder)
+    if seen is not None and latest != seen:
+        raise ValueError(f"the store has moved on from version {seen} to {latest}")
+    number = (latest or 0) + 1
+    name = f"version-{number}-{uuid.uuid4()}"
+    brands.write.parquet(f"{folder}/{name}")
+    fs, _ = _hadoop(spark, folder)
+    try:
+        fs.create(_child(spark, folder, f"claim-{number}"), False).close()
+    except Py4JJavaError as e:
+        raise ValueError(f"another writer has claimed version {number}") from e
+    written = _child(spark, folder, f"naming-{number}")
+    out = fs.create(written, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    fs.rename(written, _child(spark, folder, f"current-{number}"))
+    return number
+
+
+def read_version(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame:
+    """A version of the store, the current one by default."""
+    number = current_version(spark, folder) if number is None else number
+    if number is None:
+        raise ValueError(f"there is no version in {folder}")
+    name = spark.read.text(f"{folder}/current-{number}").first()[0]
+    return spark.read.parquet(f"{folder}/{name}")
 
 
 def with_brand_defaults(brands: DataFrame) -> DataFrame:
@@ -52,12 +114,9 @@ def read_captures(spark: SparkSession, folder: str) -> DataFrame:
         out = out.join(texts(glob, suffix, name), "host", "left")
     capture = F.from_json(F.col("capture").cast("string"), "struct<finalUrl: string, httpStatus: int>")
     iframes = F.from_json(F.col("iframes").cast("string"), "array<struct<url: string, html: string, text: string>>")
-    return out.select("host", as_text("html"), as_text("rendered_text"), iframes.alias("iframes"), capture["finalUrl"].alias("final_url"), capture["httpStatus"].alias("http_status"), "screenshot")
-
-
-def write_stage(df: DataFrame, folder: str, stage: str, run_id: str) -> None:
-    """A stage's rows, one table a stage, a partition a run."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{folder}/{stage}")
+    shown = F.nullif(F.trim(F.regexp_replace(F.col("rendered_text").cast("string"), r"\s+", " ")), F.lit(""))
+    final = F.coalesce(F.nullif(F.trim(capture["finalUrl"]), F.lit("")), F.concat(F.lit("https://"), "host"))
+    return out.select("host", as_text("html"), shown.alias("rendered_text"), iframes.alias("iframes"), final.alias("final_url"), capture["httpStatus"].alias("http_status"), "screenshot")
 
 
 def run_id(host: Column, at: Column) -> Column:

@@ -313,7 +313,7 @@ def image_candidates(pages: DataFrame, job_id: str = "job_id", url: str = "url",
     """
     each = pages.select(F.col(job_id).alias("job_id"), F.col(url).alias("__base"), brand_tokens(F.col(names)).alias("__tokens"), F.posexplode(images).alias("__nth", "__image"))
     src = F.trim(F.coalesce("__image.src", F.lit("")))
-    each = each.withColumn("url", F.when(src.startswith("data:"), src).otherwise(F.coalesce(U.resolve(src, F.col("__base")), src))).where("url <> ''")
+    each = each.withColumn("url", F.when((src == "") | src.startswith("data:"), src).otherwise(F.coalesce(U.resolve(src, F.col("__base")), src))).where("url <> ''")
     ranked = each.select("job_id", "url", "__nth", F.col("__image.kind").alias("kind"), logo_rank(F.col("__image"), F.col("__tokens"), F.col("url")).alias("rank"))
     first = ranked.groupBy("job_id", "url").agg(F.min_by(F.struct("kind", "rank"), "__nth").alias("x")).select("job_id", "url", "x.kind", "x.rank")
     order = Window.partitionBy("job_id").orderBy("rank", F.collate("url", "UNICODE"), "url")

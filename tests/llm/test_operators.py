@@ -161,6 +161,25 @@ def test_pieces(docs, empty):
     assert pieces.round_trip(empty, path).count() == 0
 
 
+def test_runs_of_blanks_agree_with_the_library():
+    import time
+
+    import sentencepiece
+
+    path = langid.default_path()
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Codec(pieces.vocabulary(path))
+    assert codec.run == 16
+    tails = ["", "the", "return", "{", "\n", "x", "漢", "\t", "é", "▁", "\0"]
+    texts = [" " * n + RNG.choice(tails) for n in range(330)] + ["a" + " " * n + t + " " * k + "z" for n in (33, 49, 50, 51, 66, 200) for t in tails for k in (0, 1, 50, 77)]
+    flat, at = codec.encode(texts)
+    for k, t in enumerate(texts):
+        assert flat[at[k] : at[k + 1]].tolist() == library.encode(t), repr(t)
+    began = time.time()
+    flat, _ = codec.encode([" " * 1_000_000, ("|" + " " * 3000) * 100 + "end"])
+    assert time.time() - began < 1
+    assert flat.tolist() == library.encode(" " * 1_000_000) + library.encode(("|" + " " * 3000) * 100 + "end")
+
+
 def test_pieces_agree_with_the_library():
     import sentencepiece
 

@@ -8,7 +8,9 @@ every neighbouring pair, takes the least rank of each word, merges its pairs of
 once, and compacts; words without a pair leave, and rounds go on until no pair remains.  The library's queue merges
 one pair after another: best score first, the leftmost of equal ones.  Merging all of a word's pairs of one rank at
 once is the same as long as no pair with the piece they make ranks better than it does; the vocabulary's ranks where that
-doesn't hold are known, and of those only the leftmost pair of a word is merged in a round.
+doesn't hold are known, and of those only the leftmost pair of a word is merged in a round.  Long runs of blanks, which
+would take a round for each blank then, are cut from the left into units of the longest piece of blanks, where the
+vocabulary is found to encode them so.
 
 Cases.  Null and empty texts have no piece: only the begin and end ids.  Characters outside the vocabulary become
 byte pieces.  Repeated rows are encoded alike.  The vocabulary's file is read on the driver only.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -108,6 +111,7 @@ class Codec:
             c = self.of_char[np.frombuffer(v.pieces[i].encode("utf-32-le"), np.uint32)]
             self.next_to[self._bigrams(c[:-1], c[1:])] = True
         self.char_of = {i: p for p, i in symbol.items() if i >= n}
+        self.run, self.least_run = self._blank_run()
         self.byte_id = [0] * 256
         for i in range(n):
             if v.bytes[i]:
@@ -118,6 +122,32 @@ class Codec:
         self.text_n = np.array([len(x) for x in text], np.int64)
         self.text_at = np.concatenate([[0], np.cumsum(self.text_n)[:-1]])
 
+    def _blank_run(self) -> tuple[int, int]:
+        """(size of the longest piece of blanks, blanks from which on a run begins with it); a size of 0: that doesn't hold.
+
+        Blanks are merged last and from the left, so what is behind a run changes no more of it than the blanks that a piece
+        with other characters begins with.  A run is tried at all lengths of one period; longer ones repeat it.
+        """
+        blanks = {len(p): i for i, p in enumerate(self.v.pieces) if p and not p.strip(SPACE)}
+        led = max((len(p) - len(p.lstrip(SPACE)) for p in self.v.pieces if p.strip(SPACE)), default=0)
+        size = max(blanks, default=0)
+        least = 2 * size + led + 1
+        if size < 2 or not all(self.rank_of[i] == self.rank_of.max(where=self.rank_of < NONE, initial=-1) for n, i in blanks.items() if n > 1):
+            return 0, 0
+        runs = [SPACE * n for n in range(least, least + 2 * size)]
+        flat, unit = self.merged(runs)
+        ids = [flat[unit == k].tolist() for k in range(len(runs))]
+        holds = all(ids[k + size] == [blanks[size], *ids[k]] and ids[k][0] == blanks[size] for k in range(size)) and self.merged([SPACE * size])[0].tolist() == [blanks[size]]
+        return (size, least) if holds else (0, 0)
+
+    def cut(self, unit: str) -> list[str]:
+        """A unit, or the pieces of blanks that it begins with and what is left, when it begins with a long run."""
+        n = len(unit) - len(unit.lstrip(SPACE))
+        if not self.run or n < self.least_run + self.run:
+            return [unit]
+        times = (n - self.least_run) // self.run
+        return [SPACE * self.run] * times + [unit[times * self.run :]]
+
     def _bigrams(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of pairs of characters in a table; different pairs can share one."""
         return ((left.astype(np.int64) * 0x9E3779B1 + right) * 0x85EBCA6B >> 9) & ((1 << 22) - 1)
@@ -178,7 +208,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of whole texts, without begin and end, and where each text's ids start (one place more)."""
         # a token stands for its unit: after "\0" as it is, else with the space symbol before it
-        lists = pc.split_pattern(pa.array([_tokens(t or "") for t in texts], pa.large_string()), " ")
+        lists = pc.split_pattern(pa.array([_tokens(t or "", self.cut) for t in texts], pa.large_string()), " ")
         coded = lists.values.dictionary_encode()
         units = [t[1:] if t[:1] == "\0" else SPACE + t for t in coded.dictionary.to_pylist()]
         ids, counts = self.units(units)
@@ -213,14 +243,14 @@ def _spell_out(e: UnicodeDecodeError) -> tuple[str, int]:
     return "�" * (e.end - e.start), e.end
 
 
-def _tokens(text: str) -> str:
+def _tokens(text: str, cut: Callable[[str], list[str]]) -> str:
     import codecs
 
     codecs.register_error("spell_out", _spell_out)
     if not text:
         return "\0"
     if "  " in text or text[0] == " " or SPACE in text or "\0" in text:
-        return " ".join("\0" + u for u in UNITS.findall((SPACE + text).replace(" ", SPACE)))
+        return " ".join("\0" + x for u in UNITS.findall((SPACE + text).replace(" ", SPACE)) for x in cut(u))
     return text.replace("\n", " \0\n \0") if "\n" in text else text
 
 

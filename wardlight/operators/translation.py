@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.skew import look_up
+from ..functions.text import bind
+from ..sources.shared import keep
 from .html import DOC
 from .semantic import ZONE_ORDER, units
 
@@ -164,12 +166,12 @@ def questions(packs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
 def translate_packs(packs: DataFrame, answers: DataFrame) -> DataFrame:
     """``packs`` (page, lang, nth, pieces) with translated and why, an array each, of as many texts as pieces.
 
-    ``answers``: (lang, text, translated), to what questions() asks in both passes.  why: "pack" for a text from a whole
+    ``packs`` is read twice.  ``answers``: (lang, text, translated), to what questions() asks in both passes.  why: "pack" for a text from a whole
     pack, "single" for one that was asked by itself, "kept" for one without an answer, which stays, "blank" for a pack of
     blanks or a blank among singles.
     """
-    store = answer_store(answers)
-    first = _first_pass(packs, store)
+    store = keep(answer_store(answers))
+    first = keep(_first_pass(packs, store))
     failed = first.where("translated is null").select("page", "lang", "nth", F.posexplode("pieces").alias("pos", "piece"))
     failed = failed.withColumn("key", F.when(~_blank(F.col("piece")), text_key(F.col("lang"), F.col("piece"))))
     found = look_up(failed, store, "key", F.struct("page", "nth", "pos"))
@@ -186,15 +188,16 @@ def translate_texts(pages: DataFrame, answers: DataFrame, page: str = "page", la
 
     Pages of no language to translate from keep their texts.
     """
-    packs = translate_packs(page_packs(pages, page, lang, texts), answers)
+    packs = translate_packs(keep(page_packs(pages, page, lang, texts)), answers)
     joined = packs.groupBy("page").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("nth", "translated"))), lambda x: x["translated"])).alias("__pieces"))
     size = lambda t: F.greatest(F.ceil(F.length(safe_piece(t)) / SLICE).cast("int"), F.lit(1))
-    sizes = F.transform(texts, size)
-    ends = F.transform(sizes, lambda n, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, b: a + b))
-    whole = F.transform(F.arrays_zip(ends.alias("end"), sizes.alias("n")), lambda x: F.array_join(F.slice("__pieces", x["end"] - x["n"] + 1, x["n"]), ""))
-    out = pages.join(joined, F.col(page) == F.col("page") if page != "page" else "page", "left")
-    out = out.withColumn("translated", F.when(F.col("__pieces").isNotNull(), whole).otherwise(F.col(texts)))
-    return out.drop("__pieces") if page == "page" else out.drop("__pieces", "page")
+    # each piece with the number of its text, then pieces of one text joined; texts that aren't cut are their piece
+    owners = F.flatten(F.transform(texts, lambda t, i: F.array_repeat(i, size(t))))
+    cut = F.exists(texts, lambda t: size(t) > 1)
+    joined_texts = lambda p: F.transform(F.sequence(F.lit(1), F.size(texts)), lambda i: F.array_join(F.slice(p["pieces"], F.array_position(p["owners"], i - 1).cast("int"), size(F.get(texts, i - 1))), ""))
+    whole = F.when(cut, bind(F.struct(F.col("__pieces").alias("pieces"), owners.alias("owners")), joined_texts)).otherwise(F.col("__pieces"))
+    out = pages.join(joined.withColumnRenamed("page", "__page"), F.col(page) == F.col("__page"), "left")
+    return out.withColumn("translated", F.when(F.col("__pieces").isNotNull(), whole).otherwise(F.col(texts))).drop("__pieces", "__page")
 
 
 def translate(pages: DataFrame, table: DataFrame, page: str = "page", doc: str = "doc", lang: str = "source_lang") -> DataFrame:

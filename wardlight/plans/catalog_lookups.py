@@ -62,9 +62,9 @@ def answered(asked: DataFrame) -> DataFrame:
 
 def two_passes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(packs, answers): both passes of asking."""
-    packs = T.page_packs(pages)
-    first = answered(T.questions(packs))
-    return packs, first.unionByName(answered(T.questions(packs, first))).distinct()
+    packs = shared.keep(T.page_packs(pages))  # asked twice, then translated
+    first = shared.keep(answered(T.questions(packs)))
+    return packs, shared.keep(first.unionByName(answered(T.questions(packs, first))).distinct())
 
 
 @query(f"WITH RECURSIVE {_TRANSLATED_SQL} SELECT id AS conv_id, pack::BIGINT AS nth, array_to_string(y, '|') AS translated, array_to_string(why, ',') AS why FROM done")

@@ -328,3 +328,16 @@ def test_analyse_captures(spark, tmp_path):
 def test_kept_tables_are_swept(spark):
     df = shared.keep(spark.range(5))
     assert df.count() == 5 and shared.sweep(spark) >= 1 and shared.sweep(spark) == 0
+
+
+def test_prompt_and_exit_reports(spark):
+    from wardlight.operators import reports as R
+
+    row = spark.range(1).select(
+        R.prompt(F.lit("https://a.example/"), F.lit(None).cast("string"), F.lit("described"), F.lit(False)).alias("p"),
+        *[R.exit_report(F.lit(p), F.lit("https://a.example/x"), F.lit(s), F.array(F.lit("127.0.0.1"), F.lit("8.8.8.8")), F.lit("Acme")).alias(f"{p}_{s}") for p, s in (("access_denied", 403), ("access_denied", 200), ("brand_unresolved", 200), ("empty_html", 200), ("kbs", 200))],
+    ).first()
+    assert all(f"- {label}" in row.p for label in R.LABELS) and "(none)" in row.p
+    assert row.access_denied_403.findings == ["The page answered with HTTP status 403"] and "http_status_403" in row.access_denied_403.summary
+    assert row.access_denied_200.findings == ["Addresses of sinkholes: 127.0.0.1"] and "dns_sinkhole" in row.access_denied_200.summary
+    assert "Acme" in row.brand_unresolved_200.summary and row.empty_html_200.domains == ["a.example"] and row.kbs_200 is None

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from ..operators import brands as B
 from ..operators import facts as X
 from ..operators import links as L
+from ..operators import reports as R
 from ..operators import semantic as S
 from ..operators import translation as T
 from ..sources import shared, stores
 from . import classify as C
-from .catalog import SQL, join, query, table
+from . import scoring
+from .catalog import HOST_SQL, SIGNALS_SQL, SQL, join, query, signal_matrix, table
 
 # --- translation -----------------------------------------------------------------------------------------------------
 
@@ -248,3 +250,57 @@ def image_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages.select("job_id", F.lit("https://h.example/p").alias("url"), "images", F.array(F.lit("Acme!"), F.lit(None).cast("string")).alias("brand_names"))
     best = S.image_candidates(pages)
     return best.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.sum("rank").cast("long").alias("ranks"), F.count_if("svg").alias("n_svg"), F.max("rank").cast("long").alias("worst"))
+
+
+# --- what follows from rules, records and early exits ----------------------------------------------------------------
+
+
+@query(scoring.contributions_sql(SIGNALS_SQL, "job"))
+def rule_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a score: which rule added how much to which label because of which signal, in order."""
+    many = {n: F.array_contains("signal_names", n) for n in ("adult_strong_many", "gambling_strong_many")}
+    found = scoring.score(signal_matrix(spark, sf_dir), many=many)
+    line = lambda c: F.concat(c["label"], F.lit("+"), F.round(c["delta"] * 100).cast("int").cast("string"), F.lit(" "), c["signal"], F.lit(" "), c["rule"])
+    return found.select("job", F.array_join(F.transform("contributions", line), "; ").alias("contributions"))
+
+
+@query(
+    f"""WITH h AS (SELECT page_id, url, {HOST_SQL} AS host, page_id % 4 AS k, CASE page_id % 3 WHEN 0 THEN 403 WHEN 1 THEN 451 ELSE 200 END AS status FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN CASE WHEN status = 200 THEN 'dns_sinkhole' ELSE 'http_status_' || status END WHEN 1 THEN 'There is no profile of the brand Nosuch' WHEN 2 THEN 'There is no HTML to analyse' END AS summary,
+  CASE WHEN k < 3 THEN coalesce(nullif(host, ''), url) END AS domain,
+  CASE k WHEN 0 THEN CASE WHEN status = 200 THEN 'Addresses of sinkholes: 0.0.0.0' ELSE 'The page answered with HTTP status ' || status END WHEN 1 THEN 'There is no profile of the brand Nosuch' WHEN 2 THEN 'The HTML is empty or missing' END AS findings FROM h"""
+)
+def exit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of jobs that end before their content is judged."""
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, "access_denied").when(k == 1, "brand_unresolved").when(k == 2, "empty_html").otherwise("kbs")
+    status = F.when(F.col("page_id") % 3 == 0, 403).when(F.col("page_id") % 3 == 1, 451).otherwise(200)
+    found = R.exit_report(path, F.col("url"), status, F.array(F.lit("8.8.8.8"), F.lit(" 0.0.0.0 ")), F.lit("Nosuch"))
+    own = table(spark, sf_dir, "pages").select("page_id", found.alias("r"))
+    short = F.regexp_replace("r.summary", r"^The page couldn't be read \((.*)\)$", "$1")
+    return own.select("page_id", short.alias("summary"), F.get("r.domains", F.lit(0)).alias("domain"), F.array_join("r.findings", "; ").alias("findings"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AS ov, c_custkey % 4 = 0 AS own_tls, c_custkey % 5 = 0 AS own_whois, c_custkey % 7 = 0 AS no_brand, CASE c_custkey % 6 WHEN 0 THEN 403 WHEN 1 THEN 404 ELSE 200 END AS status, c_custkey % 2 = 0 AS plain, c_custkey % 8 AS f FROM customer),
+s AS (SELECT k, list_filter([CASE WHEN NOT no_brand AND ov AND own_tls THEN 'brand_tls_org_match=ACME Holdings, Inc.' END, CASE WHEN NOT no_brand AND own_whois THEN 'brand_registrant_org_match=The Acme Holdings' END,
+    CASE WHEN NOT no_brand AND (ov AND own_tls OR own_whois) THEN 'brand_org_identity_match=true' END, CASE WHEN status = 403 THEN 'http_access_denied_status=403' END,
+    'hostname=' || CASE WHEN plain THEN 'a.b.example' ELSE 'site' || k || '.example' END, CASE WHEN plain THEN 'no_https=true' END, CASE WHEN plain THEN 'is_subdomain=true' END,
+    CASE WHEN f IN (1, 2) THEN 'external_form_action=["collect.example"]' END, CASE WHEN f IN (2, 3) THEN 'autocomplete_off_on_password=true' END], lambda x: x IS NOT NULL) AS s FROM c)
+SELECT k, array_to_string(s, ' | ') AS facts FROM s"""
+)
+def identity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with their values: a brand's organisations, a page's status, address and forms."""
+    k, kinds = F.col("c_custkey"), C.OPTIONAL
+    none = F.lit(None).cast("string")
+    texts = F.array().cast("array<string>")
+    tls = F.struct(F.lit(True).alias("uses_https"), F.lit(True).alias("authorized"), none.alias("error"), none.alias("subject_cn"), F.when(k % 4 == 0, "ACME Holdings, Inc.").otherwise("Other").alias("subject_org"), none.alias("issuer_org"), F.when(k % 3 == 0, "OV").otherwise("DV").alias("issuer_level"), none.alias("valid_to"), F.lit(False).alias("is_expired"), F.lit(False).alias("hostname_mismatch")).cast(kinds["tls"])
+    whois = F.struct(F.lit(None).cast("int").alias("age_in_days"), none.alias("created_date"), none.alias("expires_date"), none.alias("registrar"), F.when(k % 5 == 0, "The Acme Holdings").otherwise("No One").alias("registrant_org"), texts.alias("domain_status")).cast(kinds["whois"])
+    brand = F.when(k % 7 != 0, F.struct(F.lit("acme").alias("brand_id"), F.array(F.lit("zz")).alias("brand_names"), texts.alias("official_domains"), F.array(F.lit("acme holdings")).alias("registrant_organizations"), F.array(F.lit("Acme Holdings")).alias("tls_subject_organizations"), none.alias("expected_country")).cast(kinds["brand"]))
+    status = F.when(k % 6 == 0, 403).when(k % 6 == 1, 404).otherwise(200)
+    url = F.when(k % 2 == 0, "http://a.b.example/x").otherwise(F.concat(F.lit("https://site"), k, F.lit(".example/")))
+    field = lambda off: F.struct(F.lit("password").alias("type"), F.lit("p").alias("name"), F.lit("").alias("id"), F.when(off, "off").otherwise("on").alias("autocomplete"))
+    form = F.struct(F.when((k % 8).isin(1, 2), "https://collect.example/go").otherwise("/own").alias("action"), F.array(field((k % 8).isin(2, 3))).alias("inputs"))
+    facts = F.concat(X.brand_identity_facts(F.col("tls"), F.col("whois"), F.col("brand")), X.status_facts(F.col("status")), X.url_facts(F.col("url")), X.form_facts(F.col("forms"), F.col("url")))
+    own = table(spark, sf_dir, "customer").select(k.alias("k"), tls.alias("tls"), whois.alias("whois"), brand.alias("brand"), status.alias("status"), url.alias("url"), F.array(form).alias("forms"))
+    return own.select("k", F.array_join(F.transform(facts, lambda f: F.concat(f["signal"], F.lit("="), f["value"])), " | ").alias("facts"))

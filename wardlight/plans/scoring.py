@@ -156,3 +156,20 @@ SELECT {key}, coalesce(best.label, 'Other_Site') AS label,
   CASE WHEN len(p) = 0 THEN 'Other_Site' ELSE array_to_string(list_transform(p, lambda x: x.label), ',') END AS classified_as,
   array_to_string(fired, ',') AS fired_rules, {scores}
 FROM b"""
+
+
+def contributions_sql(source: str, key: str) -> str:
+    """DuckDB SQL for which rule added how much to which label because of which signal, in order."""
+    number = re.compile(r"(\d+\.\d+)D")
+    cast = lambda s: number.sub(r"\1::DOUBLE", s)
+    steps, last = [], source
+    for i, level in enumerate(levels()):
+        steps.append(f"l{i} AS (SELECT *, {', '.join(f'({cast(DEFINED[k])}) AS {k}' for k in level)} FROM {last})")
+        last = f"l{i}"
+
+    def signal(g) -> str:
+        *first, final = g.signal.split("|")
+        return f"CASE {' '.join(f'WHEN {x} THEN {chr(39)}{x}{chr(39)}' for x in first)} ELSE '{final}' END" if first else f"'{final}'"
+
+    rows = ", ".join(f"CASE WHEN {cond} THEN '{g.label}+{round(float(g.delta) * 100)} ' || {signal(g)} || ' {r.id}' END" for _, r, g, cond in _gains())
+    return f"WITH {', '.join(steps)} SELECT {key}, array_to_string(list_filter([{rows}], lambda x: x IS NOT NULL), '; ') AS contributions FROM {last}"

@@ -270,3 +270,30 @@ CONCEPT_FACTS = [
 BLOCKED_HOSTS = """doubleclick.net googlesyndication.com google-analytics.com adservice.google.com connect.facebook.net quantserve.com
 outbrain.com taboola.com adnxs.com intercom.io drift.com hs-scripts.com zendesk.com onetrust.com cookiebot.com trustarc.com
 usercentrics.eu cookielaw.org""".split()
+
+# The patterns of tags, scripts and attributes that pages are searched for; results depend on each of them.
+INPUT_TAG = "(?i)<input[^>]*>"
+FILE_TAG = r"(?i)<input[^>]*type\s*=\s*['\"]?file['\"]?[^>]*>"
+FORM_TAG = "(?i)<form[^>]*>"
+FORM_ACTION = r"(?i)action\s*=\s*['\"]([^'\"]*)['\"]"
+REFRESH_TAG = r"(?i)<meta[^>]*http-equiv\s*=\s*['\"]?refresh['\"]?[^>]*>"
+META = r"(?i)<meta[^>]*http-equiv\s*=\s*['\"]?refresh['\"]?[^>]*content\s*=\s*['\"]?[0-9]+\s*;\s*url\s*=\s*([^'\">]+)['\"]?"
+ASSIGN = r"(?i)(?:window\.)?location(?:\.href)?\s*=\s*['\"]([^'\"]+)['\"]"
+METHOD = r"(?i)(?:window\.)?location\.(?:replace|assign)\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"
+# What name, id or autocomplete may start with, for each kind of input.
+INPUT_NAMES = {
+    "password": "password|pass|pwd|pin",
+    "username": "username|userid|user_name|login|email",
+    "otp": "otp|mfa|one-time-code|verification_code|2fa|auth_code",
+    "financial": "cc-number|cardnumber|card-number|cvv|cvc|accountnumber|routingnumber|cc-csc|cc-exp|bank_account",
+    "identity": "passport|passport_number|passportno|ssn|social_security|national_id|id_number|idcard|nric|identity_number|document_number",
+}
+
+# From which share of dead links a page's links count as dead, from which share of all links one address is the
+# dominant one, how many samples are shown, and the links that aren't probed.
+DEAD_RATIO, DOMINANT_SHARE, SAMPLES = 0.5, 0.3, 5
+SKIPPED = ("mailto:", "tel:", "sms:", "data:", "blob:")
+
+# What failed navigation over https says; certificates are looked for first.
+CERTIFICATE = r"(?i)ERR_CERT|CERT_AUTHORITY|CERT_DATE|CERT_COMMON_NAME|certificate"
+CONNECTION = r"(?i)ERR_SSL|SSL_PROTOCOL_ERROR|ERR_CONNECTION_CLOSED|ERR_CONNECTION_RESET|ERR_CONNECTION_REFUSED|ERR_CONNECTION_TIMED_OUT|ERR_TIMED_OUT"

@@ -14,9 +14,6 @@ from ..functions.skew import look_up
 from ..functions.text import bind, first_wins
 from .detectors import client_redirects, contains_any
 
-DEAD_RATIO, DOMINANT_SHARE, SAMPLES = 0.5, 0.3, 5
-SKIPPED = ("mailto:", "tel:", "sms:", "data:", "blob:")
-
 
 def probe_status(status: Column, body: Column, error: Column) -> Column:
     """A page that says it isn't there is soft_dead whatever its status; from 400 hard_dead; else alive."""
@@ -28,7 +25,7 @@ def targets(raw: Column, page_url: Column) -> Column:
     """Struct (placeholders, urls) of the targets of a page's anchors."""
     own = F.filter(F.transform(raw, lambda h: F.trim(h)), lambda h: h != "")
     placeholder = lambda h: (h == "#") | F.lower(h).contains("javascript:void")
-    skipped = lambda h: F.lower(h).rlike("^(?:" + "|".join(SKIPPED) + ")")
+    skipped = lambda h: F.lower(h).rlike("^(?:" + "|".join(fixed.SKIPPED) + ")")
     urls = F.transform(F.filter(own, lambda h: ~placeholder(h) & ~skipped(h)), lambda h: U.resolve(h, page_url))
     return F.struct(F.size(F.filter(own, placeholder)).alias("placeholders"), F.filter(urls, lambda u: u.rlike("(?i)^https?://")).alias("urls"))
 
@@ -38,7 +35,7 @@ def one_probe(probes: DataFrame) -> DataFrame:
     return probes.groupBy("url").agg(F.min(F.struct("http_status", "body_excerpt", "error")).alias("probe"))
 
 
-def health(anchors: DataFrame, probes: DataFrame, threshold: float = DEAD_RATIO, dominant: float = DOMINANT_SHARE) -> DataFrame:
+def health(anchors: DataFrame, probes: DataFrame, threshold: float = fixed.DEAD_RATIO, dominant: float = fixed.DOMINANT_SHARE) -> DataFrame:
     """A row for each page of ``anchors`` (page, pos, url; a null url is a placeholder) with the state of its links.
 
     Occurrences are counted before the probes are looked up, so a url is looked up once a page, and one that very many pages
@@ -52,7 +49,7 @@ def health(anchors: DataFrame, probes: DataFrame, threshold: float = DEAD_RATIO,
     nth = F.row_number().over(of_page.orderBy("status", "first", "url")) - F.rank().over(of_page.orderBy("status")) + 1
     known = known.withColumn("nth", nth)
     of = lambda *s: F.coalesce(F.sum(F.when(F.col("status").isin(*s), F.col("n"))), F.lit(0))
-    sample = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("status") == s) & (F.col("nth") <= SAMPLES), F.struct("first", "url")))), lambda x: x["url"])
+    sample = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("status") == s) & (F.col("nth") <= fixed.SAMPLES), F.struct("first", "url")))), lambda x: x["url"])
     real = F.col("status") != "placeholder"
     top = F.max_by(F.when(real, F.struct("url", "n", "status")), F.when(real, F.struct(F.col("n"), -F.col("first"))))
     out = known.groupBy("page").agg(

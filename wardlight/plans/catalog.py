@@ -121,8 +121,8 @@ def _input_sql(names: str) -> str:
 
 @query(
     f"""WITH t AS (SELECT page_id, html, list_transform(regexp_extract_all(html, '(?i)<input[^>]*>'), lambda x: lower(x)) AS tags FROM {DECORATED_SQL})
-SELECT page_id, ({_input_sql(D.INPUT_NAMES["password"])} OR len(list_filter(tags, lambda t: regexp_matches(t, 'type\\s*=\\s*[''"]?password'))) > 0) AS password,
-  {", ".join(f"{_input_sql(v)} AS {k}" for k, v in D.INPUT_NAMES.items() if k != "password")},
+SELECT page_id, ({_input_sql(fixed.INPUT_NAMES["password"])} OR len(list_filter(tags, lambda t: regexp_matches(t, 'type\\s*=\\s*[''"]?password'))) > 0) AS password,
+  {", ".join(f"{_input_sql(v)} AS {k}" for k, v in fixed.INPUT_NAMES.items() if k != "password")},
   regexp_matches(html, '(?i)<input[^>]*type\\s*=\\s*[''"]?file[''"]?[^>]*>') AS file_upload FROM t"""
 )
 def sensitive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def shop_and_copyright(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH d AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, url, html FROM {DECORATED_SQL}),
-m AS (SELECT page_id, root, regexp_extract(html, '{D.META.replace(chr(39), chr(39) * 2)}', 1) AS meta, regexp_extract(html, '{D.ASSIGN.replace(chr(39), chr(39) * 2)}', 1) AS js FROM d)
+m AS (SELECT page_id, root, regexp_extract(html, '{fixed.META.replace(chr(39), chr(39) * 2)}', 1) AS meta, regexp_extract(html, '{D.ASSIGN.replace(chr(39), chr(39) * 2)}', 1) AS js FROM d)
 SELECT page_id, array_to_string(list_filter([CASE WHEN meta <> '' THEN 'meta:' || root || meta END, CASE WHEN js <> '' THEN 'javascript:' || js END], lambda x: x IS NOT NULL), ',') AS redirects FROM m"""
 )
 def client_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,13 +136,8 @@ def to_http(url: Column) -> Column:
     return F.regexp_replace(url, "(?i)^https://", "http://")
 
 
-# What failed https navigation says; certificates are looked for first.
-CERTIFICATE = r"(?i)ERR_CERT|CERT_AUTHORITY|CERT_DATE|CERT_COMMON_NAME|certificate"
-CONNECTION = r"(?i)ERR_SSL|SSL_PROTOCOL_ERROR|ERR_CONNECTION_CLOSED|ERR_CONNECTION_RESET|ERR_CONNECTION_REFUSED|ERR_CONNECTION_TIMED_OUT|ERR_TIMED_OUT"
-
-
 def navigation_error(message: Column) -> Column:
-    return F.when(message.rlike(CERTIFICATE), "cert").when(message.rlike(CONNECTION), "connection").otherwise("other")
+    return F.when(message.rlike(fixed.CERTIFICATE), "cert").when(message.rlike(fixed.CONNECTION), "connection").otherwise("other")
 
 
 def is_blocked(request_url: Column) -> Column:

@@ -167,7 +167,7 @@ def shop_and_copyright(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH d AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, url, html FROM {DECORATED_SQL}),
-m AS (SELECT page_id, root, regexp_extract(html, '{fixed.META.replace(chr(39), chr(39) * 2)}', 1) AS meta, regexp_extract(html, '{D.ASSIGN.replace(chr(39), chr(39) * 2)}', 1) AS js FROM d)
+m AS (SELECT page_id, root, regexp_extract(html, '{fixed.META.replace(chr(39), chr(39) * 2)}', 1) AS meta, regexp_extract(html, '{fixed.ASSIGN.replace(chr(39), chr(39) * 2)}', 1) AS js FROM d)
 SELECT page_id, array_to_string(list_filter([CASE WHEN meta <> '' THEN 'meta:' || root || meta END, CASE WHEN js <> '' THEN 'javascript:' || js END], lambda x: x IS NOT NULL), ',') AS redirects FROM m"""
 )
 def client_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:

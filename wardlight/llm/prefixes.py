@@ -95,7 +95,9 @@ def steps(turns: DataFrame) -> DataFrame:
             held[5][-1] = True
         yield from given(True)
 
-    ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "pos", "key", "words").repartition("conv_id").sortWithinPartitions("conv_id", "pos")
+    # dealt by a hash of the id, not by the id: the parts of a union that are each dealt by it already count as dealt
+    # together, and the shuffle is left out, although adaptive execution may have coalesced each part in its own way
+    ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "pos", "key", "words").repartition(F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "pos")
     return ordered.mapInArrow(run, "conv_id long, depth long, node binary, parent binary, words long, last boolean")
 
 

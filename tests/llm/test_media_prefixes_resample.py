@@ -249,3 +249,11 @@ def test_crc_in_sql():
     words = ["", "a", "漢字 x", "0" * 50]
     found = duckdb.sql(f"WITH {sql.STEPS} SELECT w, {sql.crc32(sql.byte_list('encode(w)'))} FROM (SELECT unnest({words}) AS w), steps").fetchall()
     assert dict(found) == {w: zlib.crc32(w.encode()) for w in words}
+
+
+def test_turns_are_shuffled_above_the_union(spark):
+    """Parts of a union that are each dealt by the conversation don't count as dealt together: adaptive execution may coalesce each in its own way."""
+    df = spark.createDataFrame([(i, k, "u", "x") for i in range(50) for k in range(3)], "conv_id long, turn long, role string, text string")
+    plan = prefixes.steps(prefixes.shared_heads(prefixes.numbered(df)))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Union")]
+    assert "Exchange hashpartitioning(xxhash64(conv_id" in above and "Sort [conv_id" in above
